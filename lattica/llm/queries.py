@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import packing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_quality": quality.op7_quality}
+    return {"op7_quality": quality.op7_quality, "op10_packing": packing.op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
