@@ -1,0 +1,58 @@
+import re
+
+import regex
+
+from lattica.llm import licenses
+
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def ascii_lower(t):
+    return re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")
+
+
+def brute(text):
+    ws = re.findall(WORD, ascii_lower(text))
+    places = []
+    for phrase, label in licenses.BASE:
+        p = phrase.split()
+        places += [(i, label) for i in range(len(ws)) if ws[i : i + len(p)] == p]
+    labels = {x for _, x in places}
+    fuzzy = {}
+    norm = (" " + " ".join(ws) + " ").encode()
+    for n in map(lambda x: licenses.Notice(*x), licenses.NOTICES):
+        m = regex.search(rb"(?<= )(?:" + regex.escape(n.body, literal_spaces=True) + b"){e<=%d}(?= )" % n.errors, norm)
+        if m:
+            fuzzy[n.label] = True
+    starts = [i for i, _ in places]
+    return len(ws), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | set(fuzzy)))
+
+
+TEXTS = [
+    None, "", "Released under the MIT License. É MIT", "Relesed undr the MIT Licence.", "licensed under the GNU General Public Licence, version 3",
+    "Apache License, Version 2.0 and apache-license version-2", "CC BY-NC 4.0 xcc by nc", "cc by nc", "under the mit licenses", "Licensed under CC-BY NC 4.0",
+    "permission is hereby granted, free of charge, to any persn obtaining copy " * 3, "k" * 5000,
+]
+
+
+def check(spark, docs, texts):
+    for r in licenses.license_scan(docs).collect():
+        assert tuple(r)[1:7] == brute(texts[r.doc_id]), r
+        assert 0 <= r.score <= 1 and (r.score > 0) == bool(r.labels)
+
+
+def test_against_brute_force(spark):
+    check(spark, spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"), dict(enumerate(TEXTS)))
+
+
+def test_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    check(spark, docs, {r.doc_id: r.text for r in docs.collect()})
+
+
+def test_spans_and_edges(spark):
+    row = licenses.scan("Note. Relesed undr the MIT Licence.", licenses._notices(licenses.NOTICES))
+    assert row[5] == "mit" and row[7] == [{"label": "mit", "first_word": 1, "last_word": 5, "errors": 3}]
+    assert licenses.license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    rows = licenses.license_scan(spark.createDataFrame([(1, "cc by nc", 0), (1, "cc by nc", 0), (None, None, 0)], "doc_id long, text string, score int")).collect()
+    assert [r.labels for r in rows].count("cc-by-nc") == 2
