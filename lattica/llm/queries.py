@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, packing, pii, quality
+from . import chat, licenses, packing, pii, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_licenses": licenses.op4_licenses, "op7_quality": quality.op7_quality, "op8_pii": pii.op8_pii, "op10_packing": packing.op10_packing}
+    return {"op4_licenses": licenses.op4_licenses, "op6_chat": chat.op6_chat, "op7_quality": quality.op7_quality, "op8_pii": pii.op8_pii, "op10_packing": packing.op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_chat": chat.OP6_SQL}
