@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licenses, mixing, packing, pii, quality, substrings
+from . import chat, decontaminate, licenses, mixing, packing, pii, quality, substrings, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": mixing.op1_mixing, "op4_licenses": licenses.op4_licenses, "op5_decontaminate": decontaminate.op5_decontaminate, "op6_chat": chat.op6_chat, "op7_quality": quality.op7_quality, "op8_pii": pii.op8_pii, "op9_substrings": substrings.op9_substrings, "op10_packing": packing.op10_packing}
+    return {"op1_mixing": mixing.op1_mixing, "op2_urls": urls.op2_urls, "op4_licenses": licenses.op4_licenses, "op5_decontaminate": decontaminate.op5_decontaminate, "op6_chat": chat.op6_chat, "op7_quality": quality.op7_quality, "op8_pii": pii.op8_pii, "op9_substrings": substrings.op9_substrings, "op10_packing": packing.op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
