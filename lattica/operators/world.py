@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,7 @@ class World:
         self.pos_names = [f"p{i}" for i in range(len(dims))]
         self.storage, self.compat, self.clamp, self.unique_id = storage, compat, clamp, unique_id
         self.chunks_limit: int | None = 24
+        self._changes: list[DataFrame] = []  # touched chunks of each change
 
     @staticmethod
     def of(spark: SparkSession, dim_names: Sequence[str], *dims: tuple[int, Bounds | range | slice | None], **more) -> World:
@@ -97,6 +99,11 @@ class World:
         """The stored chunks and their row counts."""
         return inventory(self.storage)
 
+    def writes(self) -> DataFrame:
+        """How many changes through this object touched each chunk."""
+        empty = self.spark.createDataFrame([], ", ".join(f"{p} long" for p in self.pos_names))
+        return reduce(DataFrame.unionByName, self._changes, empty).groupBy(*self.pos_names).agg(F.count(F.lit(1)).alias("writes"))
+
     # changing
 
     @property
@@ -146,6 +153,7 @@ class World:
         old_places = self.scan().join(new.select(self.dim_names[0]), self.dim_names[0], "left_semi") if self.unique_id else new
         touched = self._touched(new, old_places)
         base = self._of_chunks(touched)
+        self._changes.append(touched)
         keys = new.select(*self._key)
         old = kept(base.join(keys, self._key, "left_semi"), "replaced")
         self.storage.overwrite(touched, base.join(keys, self._key, "left_anti").unionByName(new.select(*base.columns)))
@@ -160,11 +168,14 @@ class World:
         keys = kept(base.select(*self._key).join(new.select(*self._key), self._key, "left_semi").distinct(), "stored-keys")
         rejected = new.join(keys, self._key, "left_semi").drop(*self.pos_names)
         out = kept(rejected.unionByName(outside.select(*rejected.columns)), "rejected")
-        self.storage.append(new.join(keys, self._key, "left_anti"))
+        accepted = kept(new.join(keys, self._key, "left_anti"), "accepted")
+        self._changes.append(accepted.select(*self.pos_names).distinct())
+        self.storage.append(accepted)
         return out
 
     def _rewrite(self, gone: DataFrame, added: DataFrame | None = None) -> None:
         touched = self._touched(gone, *([added] if added is not None else []))
+        self._changes.append(touched)
         base = self._of_chunks(touched)
         keys = [*self.pos_names, self.dim_names[0]]
         left = base.join(gone.select(*keys), keys, "left_anti")

@@ -111,6 +111,10 @@ class Selection:
         """Rows one by one, a partition at a time on the driver."""
         return self.rows().toLocalIterator()
 
+    def view(self, name: str) -> None:
+        """Makes the rows a temporary view for SQL."""
+        self.df().createOrReplaceTempView(name)
+
     def positions(self) -> Iterator[Pos]:
         return self.shape.positions()
 

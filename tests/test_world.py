@@ -113,3 +113,13 @@ def test_results_survive_later_changes(spark, world):
     old = world.insert(frame(spark, [(1, 11, "n")]))
     world.delete(world.select(0, Bounds.all()))
     assert [tuple(r) for r in old.collect()] == [(1, 10, "a")]
+
+
+def test_write_counts_and_views(spark, world):
+    world.insert(frame(spark, [(1, 10, "a"), (30, 60, "b")]))
+    world.try_insert(frame(spark, [(1, 10, "x"), (2, 60, "c")]))
+    world.update(world.select(0, 30), {"v": "'z'"})
+    assert sorted(map(tuple, world.writes().collect())) == [(0, 0, 1), (0, 1, 1), (1, 1, 2)]
+    world.select(1, 60).view("far")
+    assert [r.v for r in spark.sql("SELECT v FROM far ORDER BY d0").collect()] == ["c", "z"]
+    world.set_chunks_limit(None)
