@@ -7,11 +7,10 @@ thousand times the shingles of an average document, so their table has a bounded
 one of them is common in some block of the scan too, so blocks propose candidates, which a second scan counts.
 
 Improved consistent weighted sampling draws ``BANDS * ROWS`` samples a text; two texts agree in one with the
-probability of their weighted Jaccard similarity. Texts with an equal band meet in a bucket. A bucket is
-compared with leaders, first with one, then with twice as many in each round, until its texts are one
-component, so a large bucket of alike texts costs one comparison a text. Pairs are verified on their whole
-shingle sets: a link needs a weighted or a plain Jaccard similarity of ``SIMILAR`` or more. Components of
-verified links are the classes.
+probability of their weighted Jaccard similarity. Texts with an equal band meet in a bucket, whose texts are
+compared with one leader; a bucket that this does not make one component is split by further bands, and so on,
+so no bucket is compared pair by pair. Pairs are verified on their whole shingle sets: a link needs a weighted
+or a plain Jaccard similarity of ``SIMILAR`` or more. Components of verified links are the classes.
 
 Exact copies are collapsed first by a 128-bit digest, so a group of copies is one text. Texts without words
 are a class each. A class is named by its least id; null ids count only for the size. Repeated rows are copies.
@@ -35,6 +34,8 @@ COMMON_SHARE, LEAST_IDF = 0.001, 0.5
 #: A block of the frequency scan closes at so many shingles; scans are joined so that a partition has so many
 #: documents; candidates are counted in scans of so many at a time.
 BLOCK_SHINGLES, BLOCK_DOCS, CANDIDATES = 4_000_000, 4000, 2_000_000
+#: A bucket that mixes dissimilar texts is split by further bands until texts share so many.
+DEPTH = 3
 
 _ID = np.uint64((1 << 48) - 1)
 _CELL_BITS = 14
@@ -218,8 +219,13 @@ def _vectors(docs: DataFrame, text: str, wanted: DataFrame, common: tuple[np.nda
         ids_out, weights_out = [], []
         for i, j, data, off in _slices(column):
             row, ids, count, _ = shingles(data, off)
-            w, cut = weights(ids, count, common).astype(np.float32), np.searchsorted(row, np.arange(j - i + 1))
-            short = ids.astype(np.uint32)
+            # ids are cut to 32 bits; the rare two of one text that then agree are added up
+            key = (row.astype(np.uint64) << np.uint64(32)) | (ids & np.uint64(0xFFFFFFFF))
+            order = np.argsort(key)
+            key = key[order]
+            opens = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+            w = (np.add.reduceat(weights(ids, count, common)[order], opens) if len(key) else np.zeros(0)).astype(np.float32)
+            short, cut = key[opens].astype(np.uint32), np.searchsorted(key[opens] >> np.uint64(32), np.arange(j - i + 1))
             ids_out += [short[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
             weights_out += [w[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
         return [pa.array(ids_out, pa.binary()), pa.array(weights_out, pa.binary())]
@@ -235,12 +241,12 @@ def _vectors(docs: DataFrame, text: str, wanted: DataFrame, common: tuple[np.nda
             spark.conf.set(c, v) if v is not None else spark.conf.unset(c)
 
 
-def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
-    """The larger of the weighted and the plain Jaccard similarity of two sets of distinct ids."""
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    least = np.minimum(wa[i], wb[j]).sum()
-    plain = len(i) / max(len(a) + len(b) - len(i), 1)
-    return max(plain, float(least / max(wa.sum() + wb.sum() - least, 1e-9)))
+def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> tuple[float, float]:
+    """The plain and the weighted Jaccard similarity of two sets of sorted distinct ids."""
+    at = np.minimum(np.searchsorted(b, a), max(len(b) - 1, 0))
+    both = b[at] == a if len(b) else np.zeros(len(a), bool)
+    least, common = np.minimum(wa[both], wb[at[both]]).sum(), both.sum()
+    return common / max(len(a) + len(b) - common, 1), float(least / max(wa.sum() + wb.sum() - least, 1e-9))
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -248,16 +254,11 @@ def _verified(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(i) for i in range(6)]
             keep = []
-            for ia, wa, ib, wb in zip(*columns[2:], strict=True):
-                x = [np.frombuffer(v.as_buffer(), t) for v, t in ((ia, np.uint32), (wa, np.float32), (ib, np.uint32), (wb, np.float32))]
-                # neither similarity can exceed the ratio of the sizes
-                small, large = sorted((len(x[0]), len(x[2])))
-                light, heavy = sorted((float(x[1].sum()), float(x[3].sum())))
-                keep.append(max(small / max(large, 1), light / max(heavy, 1e-9)) >= SIMILAR and similarity(*x) >= SIMILAR)
+            for row in zip(*(batch.column(i) for i in range(2, 6)), strict=True):
+                keep.append(max(similarity(*(np.frombuffer(v.as_buffer(), t) for v, t in zip(row, (np.uint32, np.float32) * 2, strict=True)))) >= SIMILAR)
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([columns[0].filter(mask), columns[1].filter(mask)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     left, right = vectors.toDF("a", "ids_a", "weights_a"), vectors.toDF("b", "ids_b", "weights_b")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ids_a", "weights_a", "ids_b", "weights_b")
@@ -278,39 +279,52 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _linked(texts: DataFrame, vectors_of: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
-    """(k, c) of the texts that are linked to another."""
-    rows = texts.select("k", F.explode("bands").alias("band"))
-    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+    """(k, c) of the texts that are linked to another.
+
+    In each round the texts of a bucket that lie in other components than its leader, the text that meets most
+    others and so is likely the original of its copies, are compared with the leader. What is then still in
+    several components is dealt to finer buckets: the bucket's band together with each later band of a text. Texts that only share a common passage part in a few rounds;
+    similar ones share many bands and meet without the others. There are DEPTH rounds.
+    """
+    rows = texts.select("k", F.posexplode("bands").alias("at", "band"))
+    sizes = stored(rows.groupBy("band").agg(F.count(F.lit(1)).alias("met")).where("met > 1"), "neardup-sizes")
     buckets = stored(rows.join(sizes, "band"), "neardup-buckets")
     if buckets.isEmpty():
         return None
-    wanted = stored(buckets.groupBy("k").agg(F.max("met").alias("met")), "neardup-wanted")
+    wanted = stored(buckets.groupBy("k").agg(F.max("met").alias("met"), F.sum("met").alias("degree")), "neardup-wanted")
+    bands = stored(texts.join(wanted, "k", "left_semi").select("k", "bands"), "neardup-bands")
     vectors = vectors_of(wanted)
-    labels = wanted.select("k", F.col("k").alias("c"))
-    done: DataFrame | None = None  # compared pairs
-    linked = False
-    for step in range(64):
-        here = buckets.join(labels, "k")
-        open_ = here.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.min("k").alias("least")).where("low <> high")
-        live = stored(here.join(open_.select("band", "n", "least"), "band"), "neardup-live")
-        if live.isEmpty():
+    labels = wanted.select("k", F.col("k").alias("c"), "degree")
+    rows, done = buckets.select("k", "at", "band"), None
+    for _ in range(DEPTH):
+        here = rows.join(labels, "k")
+        leader = F.min(F.struct(-F.col("degree"), "k", "c")).alias("leader")
+        mixed = here.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), leader).where("low <> high")
+        mixed = stored(mixed.select("band", "n", F.col("leader.k").alias("b"), F.col("leader.c").alias("cb")), "neardup-mixed")
+        if mixed.isEmpty():
             break
-        chance = F.shiftrightunsigned(F.xxhash64(F.lit(step), "k"), 11).cast("double") / F.lit(float(1 << 53))
-        leads = (F.col("k") == F.col("least")) | (chance < (F.lit(2.0**step) - 1) / F.col("n"))
-        leaders = live.where(leads).select("band", F.col("k").alias("b"), F.col("c").alias("cb"))
-        pairs = live.join(leaders, "band").where("c <> cb AND k <> b").select(F.least("k", "b").alias("a"), F.greatest("k", "b").alias("b")).distinct()
+        live = stored(here.join(mixed, "band").where("k <> b"), "neardup-live")
+        pairs = live.where("c <> cb").select(F.least("k", "b").alias("a"), F.greatest("k", "b").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stored(pairs, "neardup-pairs")
-        edges = stored(_verified(pairs, vectors), "neardup-links")
+        labels = _joined(labels, stored(_verified(pairs, vectors), "neardup-links"))
         done = pairs if done is None else done.unionByName(pairs)
-        buckets = stored(live.where(~leads).select("band", "k"), "neardup-buckets")  # a leader has met its bucket
-        if not edges.isEmpty():
-            linked = True
-            ends = edges.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-            merged = components(ends).toDF("c", "to")
-            labels = stored(labels.join(merged, "c", "left").select("k", F.coalesce("to", "c").alias("c")), "neardup-labels")
-    return labels if linked else None
+        left = live.where("n > 2").select("k", "at", "band").join(labels, "k")
+        unsettled = left.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+        later = left.join(stored(unsettled.select("band"), "neardup-unsettled"), "band").select("k", "at", "band")
+        finer = later.join(bands, "k").select("k", F.posexplode("bands").alias("next", "own"), "at", "band").where("next > at")
+        rows = finer.select("k", F.col("next").alias("at"), F.xxhash64("band", "own").alias("band"))
+    return labels
+
+
+def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The labels after linked components have become one."""
+    if edges.isEmpty():
+        return labels
+    ends = edges.join(labels.select(F.col("k").alias("a"), F.col("c").alias("ca")), "a").join(labels.select(F.col("k").alias("b"), F.col("c").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b")
+    merged = components(ends).toDF("c", "to")
+    return stored(labels.join(merged, "c", "left").select("k", F.coalesce("to", "c").alias("c"), "degree"), "neardup-labels")
 
 
 def _classes(docs: DataFrame, id_column: str, text: str) -> DataFrame:

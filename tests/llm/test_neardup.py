@@ -112,3 +112,13 @@ def test_empty_and_null_ids(spark):
     got = sorted(map(tuple, neardup.near_duplicates(docs).collect()), key=str)
     assert got == [(5, 5, 3, 3), (5, 5, 3, 3), (None, 5, 3, 3), (None, None, 1, 1)]
     assert sorted(map(tuple, neardup.unique(docs).collect()), key=str) == [(5, "a b c"), (None, "x")]
+
+
+def test_long_texts_with_equal_short_ids(spark):
+    """Ids of 32 bits collide within texts of very many shingles."""
+    rnd = random.Random(8)
+    a = [str(rnd.random()) for _ in range(200_000)]
+    b = list(a)
+    b[5] = b[77_777] = "x"
+    docs = spark.createDataFrame([(0, " ".join(a)), (1, " ".join(b))], "doc_id long, text string")
+    assert sorted(map(tuple, neardup.near_duplicates(docs).collect())) == [(0, 0, 2, 200_000), (1, 0, 2, 200_000)]
