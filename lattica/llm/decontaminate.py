@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 WINDOW, BLOCK = 10, 20_000
+#: More windows than these are joined by a shuffle.
+BROADCAST_WINDOWS = 200_000
 #: ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` as it reads before A-Z are lower-cased.
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -89,7 +91,7 @@ def occurrences(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame | N
         hits = w.withColumn("at", _places(block)).where("size(at) > 0").select("k1", "k2", "w", F.explode("at").alias("p"))
         hits = hits.withColumn("word", F.lower(F.get("w", F.col("p"))))
         one = prefixes.where(F.col("word").isin(block))
-        joined = hits.join(F.broadcast(one) if len(block) <= BLOCK else one, "word").withColumn("start", F.col("p") - F.col("offset"))
+        joined = hits.join(F.broadcast(one) if one.count() <= BROADCAST_WINDOWS else one, "word").withColumn("start", F.col("p") - F.col("offset"))
         bounded = joined.where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.size("w")))
         parts.append(bounded.where(_plain(F.slice("w", F.col("start") + 1, F.col("length"))) == F.col("window")).select("k1", "k2", "start", "length", "item"))
     return _union(parts) if parts else None
