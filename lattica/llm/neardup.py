@@ -296,25 +296,27 @@ def _linked(texts: DataFrame, vectors_of: Callable[[DataFrame], DataFrame]) -> D
     vectors = vectors_of(wanted)
     labels = wanted.select("k", F.col("k").alias("c"), "degree")
     rows, done = buckets.select("k", "at", "band"), None
-    for _ in range(DEPTH):
+    for step in range(DEPTH):
         here = rows.join(labels, "k")
         leader = F.min(F.struct(-F.col("degree"), "k", "c")).alias("leader")
-        mixed = here.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), leader).where("low <> high")
-        mixed = stored(mixed.select("band", "n", F.col("leader.k").alias("b"), F.col("leader.c").alias("cb")), "neardup-mixed")
+        mixed = here.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), leader).where("low <> high")
+        mixed = stored(mixed.select("band", F.col("leader.k").alias("b"), F.col("leader.c").alias("cb")), "neardup-mixed")
         if mixed.isEmpty():
             break
-        live = stored(here.join(mixed, "band").where("k <> b"), "neardup-live")
-        pairs = live.where("c <> cb").select(F.least("k", "b").alias("a"), F.greatest("k", "b").alias("b")).distinct()
+        met = here.select("band", "k", "c").join(mixed, (here["band"] == mixed["band"]) & (F.col("c") != F.col("cb")))
+        pairs = met.select(F.least("k", "b").alias("a"), F.greatest("k", "b").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stored(pairs, "neardup-pairs")
         labels = _joined(labels, stored(_verified(pairs, vectors), "neardup-links"))
         done = pairs if done is None else done.unionByName(pairs)
-        left = live.where("n > 2").select("k", "at", "band").join(labels, "k")
-        unsettled = left.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-        later = left.join(stored(unsettled.select("band"), "neardup-unsettled"), "band").select("k", "at", "band")
-        finer = later.join(bands, "k").select("k", F.posexplode("bands").alias("next", "own"), "at", "band").where("next > at")
-        rows = finer.select("k", F.col("next").alias("at"), F.xxhash64("band", "own").alias("band"))
+        if step < DEPTH - 1:
+            # leaders have met their buckets and leave them
+            left = stored(rows.join(mixed.select("band", "b"), "band").where("k <> b").select("k", "at", "band").join(labels, "k").select("k", "c", "at", "band"), "neardup-left")
+            unsettled = left.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+            later = left.select("k", "at", "band").join(stored(unsettled.select("band"), "neardup-unsettled"), "band")
+            finer = later.join(bands, "k").select("k", F.posexplode("bands").alias("next", "own"), "at", "band").where("next > at")
+            rows = stored(finer.select("k", F.col("next").alias("at"), F.xxhash64("band", "own").alias("band")), "neardup-finer")
     return labels
 
 
