@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet into the shared
 folder and rereads it as the next stage's documents, so a lost executor or a failed stage costs a rerun from
 the last table. All but the last return the columns of documents.
+
+Null, empty and very short texts go at the first stage. Null ids, sources and other columns are carried along.
+Repeated rows and exact copies are near-duplicates of which one stays; ties are settled by the least id. The mix
+then repeats whole rows. An empty table, or one of which nothing is kept, gives no rows at every later stage.
 """
 
 from __future__ import annotations

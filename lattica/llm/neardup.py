@@ -31,9 +31,9 @@ from .textcore import BLANK_WORDS, hash_ranges, hash_windows, mix, text_slices,
 
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 4
 COMMON_SHARE, LEAST_IDF = 0.001, 0.5
-#: A block of the frequency scan closes at so many shingles; scans are joined so that a partition has so many
-#: documents; candidates are counted in scans of so many at a time.
-BLOCK_SHINGLES, BLOCK_DOCS, CANDIDATES = 4_000_000, 4000, 2_000_000
+#: A block of the frequency scan closes at so many shingles and documents, or at so many shingles alone; a scan's
+#: partitions are joined to have about so many documents; candidates are counted in scans of so many at a time.
+BLOCK_SHINGLES, BLOCK_DOCS, MOST_SHINGLES, PARTITION_DOCS, CANDIDATES = 1_000_000, 2000, 8_000_000, 4000, 2_000_000
 #: A bucket that mixes dissimilar texts is split by further bands until texts share so many.
 DEPTH = 3
 
@@ -67,24 +67,32 @@ def common_shingles(docs: DataFrame, text: str, share: float = COMMON_SHARE) ->
     """Ids, sorted, and inverse document frequencies of the shingles in more than a share of the documents."""
     n = docs.count()
     source = docs.select(docs[text].alias("text"))
-    source = source.coalesce(max(1, min(source.rdd.getNumPartitions(), n // BLOCK_DOCS)))
+    source = source.coalesce(max(1, min(source.rdd.getNumPartitions(), n // PARTITION_DOCS)))
 
     def blocks(batches: Iterator[pa.RecordBatch], count: Callable) -> Iterator[pa.RecordBatch]:
-        held, docs_held = [], 0
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if held:
-                ids, seen = count(np.concatenate(held), docs_held)
+        """Counts block by block. The last block of a partition joins the one before if it has few documents,
+        as a block of few documents would propose every shingle."""
+        full: tuple[list[np.ndarray], int] | None = None
+        held, docs_held, size = [], 0, 0
+
+        def closed(arrays: list[np.ndarray], n: int) -> Iterator[pa.RecordBatch]:
+            if arrays:
+                ids, seen = count(np.concatenate(arrays), n)
                 yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(seen.astype(np.int64))], names=["id", "seen"])
 
         for batch in batches:
             for i, j, data, off in _slices(batch.column(0)):
                 held.append(shingles(data, off)[1])
-                docs_held += j - i
-                if sum(map(len, held)) >= BLOCK_SHINGLES:
-                    yield from close()
-                    held, docs_held = [], 0
-        yield from close()
+                docs_held, size = docs_held + j - i, size + len(held[-1])
+                if size >= BLOCK_SHINGLES and docs_held >= BLOCK_DOCS or size >= MOST_SHINGLES:
+                    if full:
+                        yield from closed(*full)
+                    full, held, docs_held, size = (held, docs_held), [], 0, 0
+        if full and docs_held < BLOCK_DOCS:
+            held, docs_held = full[0] + held, full[1] + docs_held
+        elif full:
+            yield from closed(*full)
+        yield from closed(held, docs_held)
 
     def proposed(ids: np.ndarray, docs_held: int) -> tuple[np.ndarray, np.ndarray]:
         found, seen = np.unique(ids, return_counts=True)
