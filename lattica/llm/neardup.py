@@ -8,9 +8,10 @@ one of them is common in some block of the scan too, so blocks propose candidate
 
 Improved consistent weighted sampling draws ``BANDS * ROWS`` samples a text; two texts agree in one with the
 probability of their weighted Jaccard similarity. Texts with an equal band meet in a bucket, whose texts are
-compared with one leader; a bucket that this does not make one component is split by further bands, and so on,
-so no bucket is compared pair by pair. Pairs are verified on their whole shingle sets: a link needs a weighted
-or a plain Jaccard similarity of ``SIMILAR`` or more. Components of verified links are the classes.
+compared with one leader; the texts of buckets that this does not make one component are joined with each other by
+an exact prefix filter, so every pair that shares a band is compared, linked already or too dissimilar. Pairs are
+verified on their whole shingle sets: a link needs a weighted or a plain Jaccard similarity of ``SIMILAR`` or more.
+Components of verified links are the classes.
 
 Exact copies are collapsed first by a 128-bit digest, so a group of copies is one text. Texts without words
 are a class each. A class is named by its least id; null ids count only for the size. Repeated rows are copies.
@@ -23,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, stored, table, with_columns
@@ -34,8 +35,6 @@ COMMON_SHARE, LEAST_IDF = 0.001, 0.5
 #: A block of the frequency scan closes at so many shingles and documents, or at so many shingles alone; a scan's
 #: partitions are joined to have about so many documents; candidates are counted in scans of so many at a time.
 BLOCK_SHINGLES, BLOCK_DOCS, MOST_SHINGLES, PARTITION_DOCS, CANDIDATES = 1_000_000, 2000, 8_000_000, 4000, 2_000_000
-#: A bucket that mixes dissimilar texts is split by further bands until texts share so many.
-DEPTH = 3
 
 _ID = np.uint64((1 << 48) - 1)
 _CELL_BITS = 14
@@ -286,46 +285,76 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _tokens(rest: DataFrame, vectors: DataFrame) -> DataFrame:
+    """k, c, id and weight of each shingle of the texts (k, c), with the weight and the number of all of its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, ws = ([np.frombuffer(v.as_buffer(), t) for v in batch.column(i)] for i, t in ((2, np.int32), (3, np.float32)))
+            size = np.array([len(x) for x in ids], np.int32)
+            off = pa.array(np.append(0, np.cumsum(size)), pa.int32())
+            lists = [pa.ListArray.from_arrays(off, pa.array(np.concatenate(x) if x else np.zeros(0, t))) for x, t in ((ids, np.int32), (ws, np.float32))]
+            total = pa.array([float(w.sum(dtype=np.float64)) for w in ws], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists, total, pa.array(size)], names=["k", "c", "ids", "weights", "heavy", "many"])
+
+    rows = rest.join(vectors, "k").select("k", "c", "ids", "weights")
+    packed = map_arrow(rows, run, "k binary, c binary, ids array<int>, weights array<float>, heavy double, many int")
+    return packed.select("k", "c", "heavy", "many", F.inline(F.arrays_zip("ids", "weights")).alias("id", "w"))
+
+
+def _alike(rest: DataFrame, vectors: DataFrame) -> DataFrame:
+    """All pairs (a, b) of the texts (k, c) in different components that can be similar, by a prefix-filtered join.
+
+    Shingles are ordered by how many of these texts have them. What two similar texts share, from the rarest shared
+    one on, weighs or numbers at least ``SIMILAR`` of either text; so only a text's shingles with so much from them
+    on need to meet, and only if that bounds the similarity of the pair by no less. Shingles of one text alone meet none.
+    """
+    least = SIMILAR * (1 - 1e-5)  # weights are rounded
+    tokens = stored(_tokens(rest, vectors), "neardup-tokens")
+    often = tokens.groupBy("id").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    common = tokens.join(often, "id")
+    tail = Window.partitionBy("k").orderBy(F.desc("often"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
+    common = common.withColumns({"tail_w": F.sum(F.col("w").cast("double")).over(tail), "tail_n": F.count(F.lit(1)).over(tail)})
+    prefix = common.where((F.col("tail_w") >= least * F.col("heavy")) | (F.col("tail_n") >= least * F.col("many")))
+    prefix = stored(prefix.select("id", "k", "c", "heavy", "many", "tail_w", "tail_n"), "neardup-prefixes")
+    # texts of a shingle's largest component need to meet only the others
+    parts = prefix.groupBy("id", "c").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("id").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("id", "main")
+    met = stored(prefix.join(mixed, "id"), "neardup-met")
+    x, y = met.where("c <> main").alias("x"), met.alias("y")
+    shared_w, shared_n = F.least("x.tail_w", "y.tail_w"), F.least("x.tail_n", "y.tail_n")
+    can = (shared_w >= least * (F.col("x.heavy") + F.col("y.heavy") - shared_w)) | (shared_n >= least * (F.col("x.many") + F.col("y.many") - shared_n))
+    once = (F.col("y.c") == F.col("y.main")) | (F.col("x.k") < F.col("y.k"))
+    both = x.join(y, (F.col("x.id") == F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & once & can)
+    return both.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b")).distinct()
+
+
 def _linked(texts: DataFrame, vectors_of: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """(k, c) of the texts that are linked to another.
 
-    In each round the texts of a bucket that lie in other components than its leader, the text that meets most
-    others and so is likely the original of its copies, are compared with the leader. What is then still in
-    several components is dealt to finer buckets: the bucket's band together with each later band of a text. Texts that only share a common passage part in a few rounds;
-    similar ones share many bands and meet without the others. There are DEPTH rounds.
+    The texts of a bucket are compared with its leader, the text that meets most others and so is likely the
+    original of its copies. The texts of all buckets that are then still in several components are joined exactly.
     """
-    rows = texts.select("k", F.posexplode("bands").alias("at", "band"))
+    rows = texts.select("k", F.explode("bands").alias("band"))
     sizes = stored(rows.groupBy("band").agg(F.count(F.lit(1)).alias("met")).where("met > 1"), "neardup-sizes")
     buckets = stored(rows.join(sizes, "band"), "neardup-buckets")
     if buckets.isEmpty():
         return None
     wanted = stored(buckets.groupBy("k").agg(F.max("met").alias("met"), F.sum("met").alias("degree")), "neardup-wanted")
-    bands = stored(texts.join(wanted, "k", "left_semi").select("k", "bands"), "neardup-bands")
     vectors = vectors_of(wanted)
     labels = wanted.select("k", F.col("k").alias("c"), "degree")
-    rows, done = buckets.select("k", "at", "band"), None
-    for step in range(DEPTH):
-        here = rows.join(labels, "k")
-        leader = F.min(F.struct(-F.col("degree"), "k", "c")).alias("leader")
-        mixed = here.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), leader).where("low <> high")
-        mixed = stored(mixed.select("band", F.col("leader.k").alias("b"), F.col("leader.c").alias("cb")), "neardup-mixed")
-        if mixed.isEmpty():
-            break
-        met = here.select("band", "k", "c").join(mixed, (here["band"] == mixed["band"]) & (F.col("c") != F.col("cb")))
-        pairs = met.select(F.least("k", "b").alias("a"), F.greatest("k", "b").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "neardup-pairs")
-        labels = _joined(labels, stored(_verified(pairs, vectors), "neardup-links"))
-        done = pairs if done is None else done.unionByName(pairs)
-        if step < DEPTH - 1:
-            # leaders have met their buckets and leave them
-            left = stored(rows.join(mixed.select("band", "b"), "band").where("k <> b").select("k", "at", "band").join(labels, "k").select("k", "c", "at", "band"), "neardup-left")
-            unsettled = left.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-            later = left.select("k", "at", "band").join(stored(unsettled.select("band"), "neardup-unsettled"), "band")
-            finer = later.join(bands, "k").select("k", F.posexplode("bands").alias("next", "own"), "at", "band").where("next > at")
-            rows = stored(finer.select("k", F.col("next").alias("at"), F.xxhash64("band", "own").alias("band")), "neardup-finer")
-    return labels
+    leaders = stored(buckets.join(labels, "k").groupBy("band").agg(F.min(F.struct(-F.col("degree"), "k"))["k"].alias("b")), "neardup-leaders")
+    # leaders meet all of their buckets and leave them
+    led = stored(buckets.select("band", "k").join(leaders, "band").where("k <> b"), "neardup-led")
+    done = stored(led.select(F.least("k", "b").alias("a"), F.greatest("k", "b").alias("b")).distinct(), "neardup-pairs")
+    labels = _joined(labels, stored(_verified(done, vectors), "neardup-links"))
+    left = stored(led.select("band", "k").join(labels.select("k", "c"), "k"), "neardup-left")
+    mixed = left.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band")
+    rest = stored(left.join(mixed, "band").select("k", "c").distinct(), "neardup-rest")
+    if rest.isEmpty():
+        return labels
+    pairs = stored(_alike(rest, vectors).join(done, ["a", "b"], "left_anti"), "neardup-pairs")
+    return _joined(labels, stored(_verified(pairs, vectors), "neardup-links"))
 
 
 def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:

@@ -122,3 +122,25 @@ def test_long_texts_with_equal_short_ids(spark):
     b[5] = b[77_777] = "x"
     docs = spark.createDataFrame([(0, " ".join(a)), (1, " ".join(b))], "doc_id long, text string")
     assert sorted(map(tuple, neardup.near_duplicates(docs).collect())) == [(0, 0, 2, 200_000), (1, 0, 2, 200_000)]
+
+
+def hot_group(texts=2000, pairs=100):
+    """Texts that share a large template, below the threshold, and copies above it of some; the classes."""
+    template, out = " ".join(f"t{i}" for i in range(92)), []
+    for i in range(texts):
+        own = [f"u{i}-{j}" for j in range(13)]
+        out.append((i, " ".join([template, *own])))
+        if i < pairs:
+            out.append((i, " ".join([template, *own[:5], *(f"e{i}-{j}" for j in range(8))])))
+    random.Random(21).shuffle(out)
+    groups = defaultdict(list)
+    for at, (i, _) in enumerate(out):
+        groups[i].append(at)
+    return [t for _, t in out], {at: (min(g), len(g)) for g in groups.values() for at in g}
+
+
+def test_pairs_in_hot_buckets(spark):
+    texts, want = hot_group()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.class_id, r.class_size) for r in neardup.near_duplicates(docs).collect()}
+    assert {i: x for i, x in got.items() if want[i] != x} == {}
