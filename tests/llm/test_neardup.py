@@ -144,3 +144,17 @@ def test_pairs_in_hot_buckets(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.class_id, r.class_size) for r in neardup.near_duplicates(docs).collect()}
     assert {i: x for i, x in got.items() if want[i] != x} == {}
+
+
+def test_pairs_that_meet_in_one_band(spark):
+    """The leader of their only common band, the last, resembles neither."""
+    key = lambda i: bytes([i]) * 16
+    bands = {i: [100 * i + b for b in range(16)] for i in (1, 2, 3, 4)}
+    for i in (1, 2, 3):
+        bands[i][15] = 7
+    bands[1][0] = bands[4][0] = 8
+    ids = {1: range(0, 50), 2: range(100, 150), 3: range(101, 151), 4: range(200, 250)}
+    vectors = [(key(i), np.array(x, np.uint32).tobytes(), np.ones(50, np.float32).tobytes()) for i, x in ids.items()]
+    texts = spark.createDataFrame([(key(i), b) for i, b in bands.items()], "k binary, bands array<long>")
+    linked = neardup._linked(texts, lambda _: spark.createDataFrame(vectors, "k binary, ids binary, weights binary"))
+    assert {bytes(r.k)[0]: bytes(r.c)[0] for r in linked.collect()} == {1: 1, 2: 2, 3: 2, 4: 4}
