@@ -6,7 +6,7 @@ from lattica.llm.common import stored
 
 from .test_decontaminate import brute as contaminated
 from .test_mixing import sizes_of
-from .test_neardup import brute_classes
+from .test_neardup import brute_classes, hot_group
 from .test_quality import brute as counts
 
 SF = "/root/testdata/sf0.01"
@@ -55,3 +55,11 @@ def test_run_on_an_empty_table(spark, tmp_path):
     for t in ("documents", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_of_a_hot_group(spark):
+    """Texts that share a large template, with planted copies: the stage keeps the first of each pair."""
+    texts, classes = hot_group()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = dict(corpus_pipeline.STAGES)["near-duplicates"](spark, docs, SF)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for c, _ in classes.values()})
