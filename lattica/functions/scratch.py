@@ -10,18 +10,34 @@ LOCAL_SCRATCH = "/tmp/checkpoints"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names, else a local one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/")
+    """The shared folder that the cluster names. Only a session whose executors are threads of the driver may go
+    without one: elsewhere a local folder would hide one executor's files from the others."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return LOCAL_SCRATCH
+
+
+def session_dir(spark: SparkSession) -> str:
+    """The part of the scratch folder that belongs to this application."""
+    return f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}"
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read back: survives rewrites of its source and lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this application. Lazy results that read them are lost with them."""
+    delete_path(spark, session_dir(spark))
+
+
 def delete_path(spark: SparkSession, path: str) -> bool:
     """Deletes a folder or file of any file system that Spark knows."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

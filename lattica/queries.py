@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import Bounds, ClusteredStorage, Dim, ParquetStorage, RecordStorage, RecordType, Selection, Session, VirtualStorage, World, write_behind
-from .functions.scratch import kept, scratch_dir
+from .functions.scratch import kept, session_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,7 +87,7 @@ def _stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fresh(spark: SparkSession, kind: str) -> str:
-    return f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 def stored_world(spark: SparkSession, sf_dir: str | None, **more) -> World:
