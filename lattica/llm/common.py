@@ -2,43 +2,51 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows of one Arrow batch: texts of a megabyte each still fit a Python worker.
-BATCH_ROWS = 500
-#: Used where the session names no shared folder, as in tests.
-LOCAL_SCRATCH = "/tmp/checkpoints"
+from ..functions.scratch import kept as stored
+from ..functions.scratch import session_dir
 
+__all__ = ["arrow_flag", "map_arrow", "session_dir", "stored", "table", "with_columns"]
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names, else a local one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/")
+#: Rows and bytes of one Arrow batch: memory is bounded by texts and not by row counts.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes the frame to the shared folder and reads it back, so that later stages and lost executors
-    reread files instead of computing it again. The folder is the session's: it is kept until the cluster
-    clears it, because lazy results may still read it."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's batch limits to BATCH_ROWS and BATCH_BYTES. They stay lowered: Spark reads them when a
+    plan runs, and the results here are lazy."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow in batches of few rows, so that memory is bounded by texts and not by row counts."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """mapInArrow in bounded batches."""
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
+def arrow_flag(df: DataFrame, column: str, test: Callable[[pa.Array], pa.Array]) -> Column:
+    """A condition on one column, judged in Python in bounded batches: only that column goes out and only a
+    boolean comes back."""
+    bounded_batches(df.sparkSession)
+
+    def flag(values: pa.Array) -> pa.Array:
+        return test(values)
+
+    flag.__annotations__ = {"values": pa.Array, "return": pa.Array}  # as objects: the module's are strings
+    return F.arrow_udf(flag, "boolean")(df[column])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,8 @@ rules' accuracies from how they agree over all documents, and a document's poste
 good replaces the usual filter in which every rule must pass. Only the counts of vote patterns reach the
 driver: at most 3**rules rows, whatever the number of documents.
 
-Null and empty texts have no words, no votes and fail the base rule. Repeated rows are judged alike, each
+A document on which no rule votes has the probability 0.5 and is kept, as nothing speaks against it. Null and
+empty texts have no words, no votes and fail the base rule. Repeated rows are judged alike, each
 as a row. An empty table gives an empty result. Other columns pass through; none is looked at by name but
 the text.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import weak
-from .common import stored, table, with_columns
+from .common import arrow_flag, stored, table, with_columns
 from .textcore import BLANK_WORDS, covered, hash_ranges, hash_windows, mix, per_row, text_slices, window_starts, words
 
 LEAST_WORDS, REPEAT_SHARE, KEEP_AT = 50, 0.5, 0.5
@@ -134,17 +135,15 @@ def quality(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
 
 
 def filtered(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that are kept, with all their columns. Two passes over the texts and no shuffle of them."""
+    """The documents that are kept, with all their columns. Two passes over the texts and no shuffle of them; only
+    the text goes to Python, and one bit comes back."""
     accuracy = fit(measured(docs, [], text))
 
-    def keep(column: pa.Array) -> list[np.ndarray]:
+    def keep(column: pa.Array) -> pa.Array:
         *_, pattern, failed = _measure(column)
-        return [~failed & (probability(pattern, accuracy) >= KEEP_AT)]
+        return pa.array(~failed & (probability(pattern, accuracy) >= KEEP_AT))
 
-    name = "kept"
-    while name in docs.columns:
-        name += "_"
-    return with_columns(docs, text, keep, f"{name} boolean", docs.columns).where(F.col(name)).drop(name)
+    return docs.where(arrow_flag(docs, text, keep))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

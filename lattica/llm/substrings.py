@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, scratch_dir, stored, table, with_columns
+from .common import map_arrow, session_dir, stored, table, with_columns
 from .textcore import BLANK_WORDS, covered, hash_ranges, hash_windows, text_slices, window_starts, words
 
 WINDOW, GRAM, FANOUT, BATCHES = 35, 8, 3, 3
@@ -113,7 +113,7 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
-        self.path = path or f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}"
+        self.path = path or f"{session_dir(spark)}/index-{uuid.uuid4().hex}"
         self.levels: list[list[str]] = []
 
     SCHEMA = "anchor long, whole long, n long, k long"
