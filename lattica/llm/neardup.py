@@ -1,21 +1,25 @@
 """Near-duplicates: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
-A shingle is five words in a row (a shorter text is one shingle); its weight is its count in the text times an
-inverse document frequency that is 1 for shingles in at most a thousandth of the documents and falls with the
-logarithm of the frequency to ``LEAST_IDF`` for more common ones. Such common shingles number at most a
-thousand times the shingles of an average document, so their table has a bounded size. They are found exactly:
-one of them is common in some block of the scan too, so blocks propose candidates, which a second scan counts.
+A shingle is five words in a row (a shorter text is one shingle); its weight is one more than the logarithm of its
+count in the text, times an inverse document frequency. That is 1 for shingles in at most a thousandth of the
+documents and falls with the logarithm of the frequency to ``LEAST_IDF`` for a shingle of all documents: the floor
+is high so that a group of near copies that holds a large part of all rows is not separated by its own weights.
+Common shingles number at most a thousand times the shingles of an average document. They are found exactly:
+each is common, at a quarter of the share, in some blocks of the scan too; blocks propose, and as those that do
+not can hold no more than a quarter of the share, the sum of the proposals leaves a bounded number of candidates
+in whatever order the documents lie. A second scan counts them.
 
 Improved consistent weighted sampling draws ``BANDS * ROWS`` samples a text; two texts agree in one with the
-probability of their weighted Jaccard similarity. Texts with an equal band meet in a bucket, whose texts are
-compared with one leader; the texts of buckets that this does not make one component are joined with each other by
-an exact prefix filter, so every pair that shares a band is compared, linked already or too dissimilar. Pairs are
-verified on their whole shingle sets: a link needs a weighted or a plain Jaccard similarity of ``SIMILAR`` or more.
-Components of verified links are the classes.
+probability of their weighted Jaccard similarity, so a pair of similarity 0.8 shares a band with probability
+0.9998. Texts with an equal band meet in a bucket, whose texts are compared with one leader; the texts of buckets
+that this does not make one component are joined with each other by an exact prefix filter, so every pair that
+shares a band is compared, linked already or too dissimilar. A link is a weighted Jaccard similarity of
+``SIMILAR`` or more over the texts' whole shingle sets, whose ids are cut to 32 bits (two shingles of a text that
+then agree count as one). Components of links are the classes.
 
 Exact copies are collapsed first by a 128-bit digest, so a group of copies is one text. Texts without words
 are a class each. A class is named by its least id; null ids count only for the size. Repeated rows are copies.
-An empty table gives an empty result.
+Ids must be numbers or cast to them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,10 +35,12 @@ from .common import map_arrow, stored, table, with_columns
 from .textcore import BLANK_WORDS, hash_ranges, hash_windows, mix, text_slices, words
 
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 4
-COMMON_SHARE, LEAST_IDF = 0.001, 0.5
+COMMON_SHARE, LEAST_IDF = 0.001, 0.9
 #: A block of the frequency scan closes at so many shingles and documents, or at so many shingles alone; a scan's
 #: partitions are joined to have about so many documents; candidates are counted in scans of so many at a time.
-BLOCK_SHINGLES, BLOCK_DOCS, MOST_SHINGLES, PARTITION_DOCS, CANDIDATES = 1_000_000, 2000, 8_000_000, 4000, 2_000_000
+BLOCK_SHINGLES, BLOCK_DOCS, MOST_SHINGLES, PARTITION_DOCS, CANDIDATES = 1_000_000, 8000, 8_000_000, 8000, 2_000_000
+#: A block proposes what is in more than this part of the share of its documents.
+BLOCK_PART = 0.25
 
 _ID = np.uint64((1 << 48) - 1)
 _CELL_BITS = 14
@@ -95,12 +101,14 @@ def common_shingles(docs: DataFrame, text: str, share: float = COMMON_SHARE) ->
 
     def proposed(ids: np.ndarray, docs_held: int) -> tuple[np.ndarray, np.ndarray]:
         found, seen = np.unique(ids, return_counts=True)
-        often = seen >= max(1, np.ceil(docs_held * share))
+        often = seen > docs_held * share * BLOCK_PART
         return found[often], seen[often]
 
     first = map_arrow(source, lambda b: blocks(b, proposed), "id long, seen long")
-    # in a block that doesn't propose it, a shingle is in fewer than its share of documents
-    candidates = stored(first.groupBy("id").agg(F.sum("seen").alias("seen")).where(F.col("seen") > 1).select("id"), "neardup-candidates")
+    # blocks that do not propose a shingle hold BLOCK_PART of the share at most, so the others hold the rest: no
+    # more than 1 / (share * (1 - BLOCK_PART)) times the shingles of an average document can be candidates
+    least = max(1.0, n * share) - n * share * BLOCK_PART
+    candidates = stored(first.groupBy("id").agg(F.sum("seen").alias("seen")).where(F.col("seen") > least).select("id"), "neardup-candidates")
     total = candidates.count()
     if not total:
         return np.zeros(0, np.uint64), np.zeros(0)
@@ -118,11 +126,16 @@ def common_shingles(docs: DataFrame, text: str, share: float = COMMON_SHARE) ->
         kept += [(r.id, r.seen) for r in exact.where(F.col("seen") > max(1, n * share)).collect()]  # at most 1 / share times an average document
     kept.sort()
     seen = np.array([k[1] for k in kept], float)
-    return np.array([k[0] for k in kept], np.uint64), np.clip(np.log(n / seen) / np.log(1 / share), LEAST_IDF, 1)
+    return np.array([k[0] for k in kept], np.uint64), idf(seen, n, share)
+
+
+def idf(seen: np.ndarray, n: int, share: float = COMMON_SHARE) -> np.ndarray:
+    """1 for what is in a share of n documents, ``LEAST_IDF`` for what is in all of them."""
+    return LEAST_IDF + (1 - LEAST_IDF) * np.log(n / seen) / np.log(1 / share)
 
 
 def weights(ids: np.ndarray, count: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    out = count.astype(np.float64)
+    out = 1 + np.log(count)
     if len(common[0]):
         at = np.minimum(np.searchsorted(common[0], ids), len(common[0]) - 1)
         hit = common[0][at] == ids
@@ -134,23 +147,17 @@ class Sampler:
     """Improved consistent weighted sampling: sample j of a set is the element with the least
     ln a = ln c - r (t - b) - r with t = floor(ln weight / r + b), together with t.
 
-    r, c and b of an element are read from a table of 2**14 draws by a hash of the element and j; among
-    elements that share a cell the least hash wins, which keeps the choice consistent. Weight 1 has t = 0, so
-    its ln a is a table too.
+    A hash of the element and j points to one of 2**14 draws of (r, b) and, by other bits, to one of 2**14 draws of
+    ln c, so ln a has 2**28 values in one sample; among elements with the same one the least hash wins, which keeps
+    the choice consistent. Weight 1 has t = 0.
     """
 
     def __init__(self, samples: int = BANDS * ROWS, seed: int = 11):
         draw = np.random.default_rng(seed)
-        self.r, c = draw.gamma(2, 1, (2, samples, _CELLS))
-        self.ln_c, self.b = np.log(c), draw.random((samples, _CELLS))
+        r, c = draw.gamma(2, 1, (2, samples, _CELLS))
+        self.r, self.b, self.ln_c = r, draw.random((samples, _CELLS)), np.log(c).astype(np.float32)
         self.odd = draw.integers(0, 1 << 63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.one = self.packed(self.ln_c - self.r * (0 - self.b) - self.r)
-
-    @staticmethod
-    def packed(ln_a: np.ndarray) -> np.ndarray:
-        """The order of ln a in the upper 32 bits."""
-        a = np.exp(np.clip(ln_a, -80, 80)).astype(np.float32)
-        return a.view(np.uint32).astype(np.uint64) << np.uint64(32)
+        self.one = (-self.r * (1 - self.b) + 64).astype(np.float32)  # above 0, where the bits of floats have their order
 
     def __call__(self, ids: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
         """A row of samples for each set; ``first`` is where each set, none empty, begins."""
@@ -160,14 +167,18 @@ class Sampler:
         ln_w = np.log(weight[other])
         out = np.empty((len(first), len(self.odd)), np.uint64)
         for j, odd in enumerate(self.odd):
-            cell = ((spread * odd) >> np.uint64(64 - _CELL_BITS)).astype(np.int64)
-            value = self.one[j][cell]
-            value |= low
+            drawn = spread * odd
+            cell = (drawn >> np.uint64(64 - _CELL_BITS)).astype(np.int32)
+            ln_c = self.ln_c[j][((drawn >> np.uint64(64 - 2 * _CELL_BITS)) & np.uint64(_CELLS - 1)).astype(np.int32)]
+            ln_a = self.one[j][cell] + ln_c
             if len(other):
                 k = cell[other]
                 r, b = self.r[j][k], self.b[j][k]
                 t = np.floor(ln_w / r + b)
-                value[other] = self.packed(self.ln_c[j][k] - r * (t - b) - r) | ((spread[other] + t.astype(np.int64).view(np.uint64) * _STEP) & np.uint64(0xFFFFFFFF))
+                ln_a[other] = ln_c[other] - r * (t - b) - r + 64
+            value = (np.maximum(ln_a, 1).view(np.uint32).astype(np.uint64) << np.uint64(32)) | low
+            if len(other):
+                value[other] = (value[other] & ~np.uint64(0xFFFFFFFF)) | ((spread[other] + t.astype(np.int64).view(np.uint64) * _STEP) & np.uint64(0xFFFFFFFF))
             out[:, j] = np.minimum.reduceat(value, first)
         return out
 
@@ -248,12 +259,12 @@ def _vectors(docs: DataFrame, text: str, wanted: DataFrame, common: tuple[np.nda
             spark.conf.set(c, v) if v is not None else spark.conf.unset(c)
 
 
-def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> tuple[float, float]:
-    """The plain and the weighted Jaccard similarity of two sets of sorted distinct ids."""
+def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
+    """The weighted Jaccard similarity of two sets of sorted distinct ids."""
     at = np.minimum(np.searchsorted(b, a), max(len(b) - 1, 0))
     both = b[at] == a if len(b) else np.zeros(len(a), bool)
-    least, common = np.minimum(wa[both], wb[at[both]]).sum(), both.sum()
-    return common / max(len(a) + len(b) - common, 1), float(least / max(wa.sum() + wb.sum() - least, 1e-9))
+    least = np.minimum(wa[both], wb[at[both]]).sum(dtype=np.float64)
+    return float(least / max(wa.sum(dtype=np.float64) + wb.sum(dtype=np.float64) - least, 1e-9))
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -263,7 +274,7 @@ def _verified(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             for row in zip(*(batch.column(i) for i in range(2, 6)), strict=True):
-                keep.append(max(similarity(*(np.frombuffer(v.as_buffer(), t) for v, t in zip(row, (np.uint32, np.float32) * 2, strict=True)))) >= SIMILAR)
+                keep.append(similarity(*(np.frombuffer(v.as_buffer(), t) for v, t in zip(row, (np.uint32, np.float32) * 2, strict=True))) >= SIMILAR)
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
@@ -286,47 +297,49 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _tokens(rest: DataFrame, vectors: DataFrame) -> DataFrame:
-    """k, c, id and weight of each shingle of the texts (k, c), with the weight and the number of all of its text."""
+    """k, c, id and weight of each shingle of the texts (k, c), with the weight of all of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ws = ([np.frombuffer(v.as_buffer(), t) for v in batch.column(i)] for i, t in ((2, np.int32), (3, np.float32)))
-            size = np.array([len(x) for x in ids], np.int32)
-            off = pa.array(np.append(0, np.cumsum(size)), pa.int32())
+            off = pa.array(np.append(0, np.cumsum([len(x) for x in ids])), pa.int32())
             lists = [pa.ListArray.from_arrays(off, pa.array(np.concatenate(x) if x else np.zeros(0, t))) for x, t in ((ids, np.int32), (ws, np.float32))]
             total = pa.array([float(w.sum(dtype=np.float64)) for w in ws], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists, total, pa.array(size)], names=["k", "c", "ids", "weights", "heavy", "many"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists, total], names=["k", "c", "ids", "weights", "heavy"])
 
     rows = rest.join(vectors, "k").select("k", "c", "ids", "weights")
-    packed = map_arrow(rows, run, "k binary, c binary, ids array<int>, weights array<float>, heavy double, many int")
-    return packed.select("k", "c", "heavy", "many", F.inline(F.arrays_zip("ids", "weights")).alias("id", "w"))
+    packed = map_arrow(rows, run, "k binary, c binary, ids array<int>, weights array<float>, heavy double")
+    return packed.select("k", "c", "heavy", F.inline(F.arrays_zip("ids", "weights")).alias("id", "w"))
 
 
 def _alike(rest: DataFrame, vectors: DataFrame) -> DataFrame:
     """All pairs (a, b) of the texts (k, c) in different components that can be similar, by a prefix-filtered join.
 
     Shingles are ordered by how many of these texts have them. What two similar texts share, from the rarest shared
-    one on, weighs or numbers at least ``SIMILAR`` of either text; so only a text's shingles with so much from them
-    on need to meet, and only if that bounds the similarity of the pair by no less. Shingles of one text alone meet none.
+    one on, weighs at least ``SIMILAR`` of the heavier text and 2 * SIMILAR / (1 + SIMILAR) of the lighter; so only a
+    text's shingles with so much from them on need to meet, and only if that bounds the similarity of the pair by no
+    less. Shingles of one text alone meet none.
     """
     least = SIMILAR * (1 - 1e-5)  # weights are rounded
     tokens = stored(_tokens(rest, vectors), "neardup-tokens")
     often = tokens.groupBy("id").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    common = tokens.join(often, "id")
     tail = Window.partitionBy("k").orderBy(F.desc("often"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
-    common = common.withColumns({"tail_w": F.sum(F.col("w").cast("double")).over(tail), "tail_n": F.count(F.lit(1)).over(tail)})
-    prefix = common.where((F.col("tail_w") >= least * F.col("heavy")) | (F.col("tail_n") >= least * F.col("many")))
-    prefix = stored(prefix.select("id", "k", "c", "heavy", "many", "tail_w", "tail_n"), "neardup-prefixes")
+    prefix = tokens.join(often, "id").withColumn("tail", F.sum(F.col("w").cast("double")).over(tail)).where(F.col("tail") >= least * F.col("heavy"))
+    prefix = stored(prefix.select("id", "k", "c", "heavy", "tail"), "neardup-prefixes")
     # texts of a shingle's largest component need to meet only the others
     parts = prefix.groupBy("id", "c").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("id").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("id", "main")
     met = stored(prefix.join(mixed, "id"), "neardup-met")
-    x, y = met.where("c <> main").alias("x"), met.alias("y")
-    shared_w, shared_n = F.least("x.tail_w", "y.tail_w"), F.least("x.tail_n", "y.tail_n")
-    can = (shared_w >= least * (F.col("x.heavy") + F.col("y.heavy") - shared_w)) | (shared_n >= least * (F.col("x.many") + F.col("y.many") - shared_n))
-    once = (F.col("y.c") == F.col("y.main")) | (F.col("x.k") < F.col("y.k"))
-    both = x.join(y, (F.col("x.id") == F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & once & can)
-    return both.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b")).distinct()
+    light = met.where(F.col("tail") >= 2 * least / (1 + least) * F.col("heavy"))
+    main, shared = F.col("c") == F.col("main"), F.least("x.tail", "y.tail")
+    can = shared >= least * (F.col("x.heavy") + F.col("y.heavy") - shared)
+    lighter = F.struct("x.heavy", "x.k") < F.struct("y.heavy", "y.k")
+
+    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+        both = x.alias("x").join(y.alias("y"), (F.col("x.id") == F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & lighter & can)
+        return both.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b"))
+
+    return meet(light.where(~main), met).unionByName(meet(light.where(main), met.where(~main))).distinct()
 
 
 def _linked(texts: DataFrame, vectors_of: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
@@ -397,7 +410,9 @@ def unique(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     winners = classes.where("n_words > 0").groupBy("c").agg(F.min(first)["k"].alias("k")).select("k")
     empty = classes.where("n_words = 0").select("k")
     own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), key_of(docs[text]).alias("k"), docs[id_column].cast("long").alias("id"))
-    one = own.groupBy("k").agg(F.min_by("_row", F.struct(F.col("id").isNull(), "id")).alias("_row")).join(winners, "k", "left_semi")
+    hashed = [F.col("_row").getField(f.name) for f in docs.schema.fields if f.name != text and "map<" not in f.dataType.simpleString()]
+    own = own.withColumn("tie", F.xxhash64(*hashed) if hashed else F.lit(0))  # rows that differ in other columns only
+    one = own.groupBy("k").agg(F.min_by("_row", F.struct(F.col("id").isNull(), "id", "tie")).alias("_row")).join(winners, "k", "left_semi")
     return one.select("_row.*").unionByName(own.join(empty, "k", "left_semi").select("_row.*"))
 
 
