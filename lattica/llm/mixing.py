@@ -1,13 +1,13 @@
 """Mixing sources to target weights by systematic sampling.
 
-Every document of a source is expected rate = target / size of the source times. The documents of a source
-stand in one random order; the prefix sum of the expected copies plus one random offset is cut at the integers,
-and a document is emitted once per integer it crosses. Of ``ORDERS`` seeded orders with ``OFFSETS`` seeded
-offsets each, a source takes the draw whose words come nearest its target.
+Every document of a source is expected rate = target / size of the source times. The documents of a source stand
+in order of their sizes, equal sizes in a random order; the prefix sum of the expected copies plus one random
+offset is cut at the integers, and a document is emitted once per integer it crosses. In this order the words
+taken differ from the target by less than the source's largest document.
 
-The prefix sum is never computed in one task: documents are dealt to buckets of about sqrt(documents) rows by
-(source, hash), and the buckets' totals give each bucket its start. A hot source has more buckets, not larger
-ones.
+The prefix sum is never computed in one task: documents are dealt to buckets of one (source, size) and, where many
+documents share it, of a hash, and the buckets' totals give each bucket its start. A hot source or size has more
+buckets of about sqrt(documents) rows, not larger ones.
 
 Null texts have size 0, null sources are a source of their own, ordered last. Repeated rows and ties in every
 key are interchangeable, so reruns agree. An empty table, or one without words, takes nothing. Other columns
@@ -24,10 +24,10 @@ from pyspark.sql.window import Window
 
 from .common import stored, table
 
-WEIGHTS, MOST_COPIES, OFFSETS, ORDERS, SEED, LEAST_BUCKET = (5, 2, 1), 3, 64, 4, 20240, 200
-#: A table of one row for each source is broadcast up to so many rows, else shuffled.
+WEIGHTS, MOST_COPIES, SEED, LEAST_BUCKET = (5, 2, 1), 3, 20240, 200
+#: A table of one row for each source, or for each size in each source, is broadcast up to so many rows, else shuffled.
 BROADCAST_ROWS = 200_000
-SOURCE = "_s string, _k int, _size long, _target double, _rate double, _buckets long"
+SOURCE = "_s string, _k int, _size long, _target double, _rate double"
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, most: float = MOST_COPIES) -> dict[str | None, float]:
@@ -61,55 +61,45 @@ def _unit(*parts: Column) -> Column:
 
 
 def _copies(rank: Column, rate: Column, offset: Column) -> Column:
+    """The integers crossed by the prefix sum at one place of the order."""
     return (F.floor(rank * rate + offset) - F.floor((rank - 1) * rate + offset)).cast("int")
 
 
 class Plan:
-    """Sizes, rates and bucket starts of one table, from its slim columns alone."""
+    """Rates and bucket starts of one table, from its slim columns alone."""
 
     def __init__(self, docs: DataFrame, id_column: str, text: str, source: str):
-        self.columns = (id_column, text, source)
-        spark = docs.sparkSession
+        spark, c = docs.sparkSession, F.col
         slim = docs.select(docs[id_column].alias("i"), docs[source].alias("s"), word_count(docs[text]).alias("n"), F.xxhash64(docs[text]).alias("h"))
         self.slim = stored(slim, "mix-sizes")
-        found = self.slim.groupBy("s").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")).collect()  # a row for each source
+        counted = stored(self.slim.groupBy("s", "n").agg(F.count(F.lit(1)).alias("d")), "mix-histogram")
+        found = counted.groupBy("s").agg(F.sum(c("n") * c("d")).alias("n"), F.sum("d").alias("d")).collect()  # a row for each source
         goal = targets([(r.s, r.n) for r in found])
         order = sorted(found, key=lambda r: (r.s is None, r.s or ""))
-        self.bucket = max(LEAST_BUCKET, isqrt(sum(r.d for r in found)))
-        rows = [(r.s, k, r.n, goal[r.s], goal[r.s] / r.n if r.n else 0.0, -(-r.d // self.bucket)) for k, r in enumerate(order)]
-        self.sources = spark.createDataFrame(rows, SOURCE)
-        self.n_sources = len(rows)
-        drawn = self.slim.withColumn("_order", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))))
-        dealt = self._dealt(drawn, F.col("i"), F.col("s"), F.col("n"), F.col("h"))
-        within = Window.partitionBy("_k", "_order").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        counts = dealt.groupBy("_k", "_order", "_b").agg(F.count(F.lit(1)).alias("_in"))
-        self.starts = stored(counts.select("_k", "_order", "_b", F.coalesce(F.sum("_in").over(within), F.lit(0)).alias("_start")), "mix-starts")
-        tries = [F.sum(_copies(F.col("_rank"), F.col("_rate"), self._offset(j)) * F.col("_n")).alias(f"w{j}") for j in range(OFFSETS)]
-        best: dict[int, tuple[float, int, int]] = {}
-        for r in self._ranked(dealt).groupBy("_k", "_order").agg(*tries).collect():  # ORDERS rows for each source
-            k, order = r["_k"], r["_order"]
-            best[k] = min([best.get(k, (float("inf"), 0, 0)), *((abs(r[f"w{j}"] - rows[k][3]), order, j) for j in range(OFFSETS))])
-        self.sources = spark.createDataFrame([(*r, *best.get(r[1], (0.0, 0, 0))[1:]) for r in rows], f"{SOURCE}, _order int, _try int")
-
-    @staticmethod
-    def _offset(j: int | Column) -> Column:
-        return _unit(F.lit(SEED), F.col("_k"), F.col("_order"), F.lit(j) if isinstance(j, int) else j)
+        bucket = max(LEAST_BUCKET, isqrt(sum(r.d for r in found)))
+        rows = [(r.s, k, r.n, goal[r.s], goal[r.s] / r.n if r.n else 0.0) for k, r in enumerate(order)]
+        sources = spark.createDataFrame(rows, SOURCE)
+        placed = counted.join(_small(sources, len(rows)), c("s").eqNullSafe(c("_s")))
+        self.sizes = stored(placed.select("_s", "_k", c("n").alias("_of"), "_size", "_target", "_rate", F.ceil(c("d") / bucket).alias("_buckets")), "mix-buckets")
+        self.n_sizes = self.sizes.count()
+        within = Window.partitionBy("_k").orderBy("_of", "_b").rowsBetween(Window.unboundedPreceding, -1)  # the buckets of a source, not its documents
+        counts = self._dealt(self.slim, c("i"), c("s"), c("n"), c("h")).groupBy("_k", "_of", "_b").agg(F.count(F.lit(1)).alias("_in"))
+        self.starts = stored(counts.select("_k", "_of", "_b", F.coalesce(F.sum("_in").over(within), F.lit(0)).alias("_start")), "mix-starts")
+        self.n_starts = self.starts.count()
 
     def _dealt(self, df: DataFrame, i: Column, s: Column, n: Column, h: Column) -> DataFrame:
         """Adds the source's number and rate and the row's bucket."""
         own = df.withColumns({"_i": i, "_own": s, "_n": n, "_h": h})
-        placed = own.join(_small(self.sources, self.n_sources), F.col("_own").eqNullSafe(F.col("_s")))
-        mix = placed.withColumn("_mix", F.xxhash64(F.lit(SEED), "_order", "_i", "_n", "_h"))
-        return mix.withColumn("_b", F.pmod(F.col("_mix"), F.col("_buckets")))
-
-    def _ranked(self, dealt: DataFrame) -> DataFrame:
-        order = Window.partitionBy("_k", "_order", "_b").orderBy("_mix", "_i", "_n", "_h")
-        return dealt.withColumn("_at", F.row_number().over(order)).join(self.starts, ["_k", "_order", "_b"]).withColumn("_rank", (F.col("_start") + F.col("_at")).cast("double"))
+        placed = own.join(_small(self.sizes, self.n_sizes), F.col("_own").eqNullSafe(F.col("_s")) & (F.col("_n") == F.col("_of")))
+        return placed.withColumn("_mix", F.xxhash64(F.lit(SEED), "_i", "_n", "_h")).withColumn("_b", F.pmod(F.col("_mix"), F.col("_buckets")))
 
     def copies(self, df: DataFrame, i: Column, s: Column, n: Column, h: Column) -> DataFrame:
         """The rows with _n, _size, _target and _copies beside their own columns."""
-        ranked = self._ranked(self._dealt(df, i, s, n, h))
-        return ranked.withColumn("_copies", _copies(F.col("_rank"), F.col("_rate"), self._offset(F.col("_try"))))
+        order = Window.partitionBy("_k", "_of", "_b").orderBy("_mix", "_i", "_h")
+        dealt = self._dealt(df, i, s, n, h).withColumn("_at", F.row_number().over(order))
+        rank = (F.col("_start") + F.col("_at")).cast("double")
+        offset = _unit(F.lit(SEED), F.col("_k"))
+        return dealt.join(_small(self.starts, self.n_starts), ["_k", "_of", "_b"]).withColumn("_copies", _copies(rank, F.col("_rate"), offset))
 
 
 def mixed_sizes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

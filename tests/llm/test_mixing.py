@@ -1,7 +1,9 @@
 import re
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, namedtuple
+from math import floor, isqrt
 
 import pytest
+from pyspark.sql import functions
 
 from lattica.llm import mixing
 
@@ -17,34 +19,59 @@ def sizes_of(docs):
     return [(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in docs.collect()]
 
 
-def test_table(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+def brute(rows):
+    """Copies of each row (id, source, size, hash, order) by one prefix sum for each source."""
+    by, out = defaultdict(list), {}
+    for r in rows:
+        by[r.source].append(r)
+    goal = mixing.targets([(s, sum(r.n for r in x)) for s, x in by.items()])
+    for s, x in by.items():
+        total = sum(r.n for r in x)
+        rate, crossed, upto = goal[s] / total if total else 0, floor(x[0].offset), x[0].offset
+        for at, r in enumerate(sorted(x, key=lambda r: (r.n, r.bucket, r.mix, r.doc_id)), 1):
+            upto = at * rate + r.offset
+            out[r.doc_id] = floor(upto) - crossed
+            crossed = floor(upto)
+    return out, goal
+
+
+def checked(docs):
+    """Compares the copies of every document with the brute-force prefix sum, and the words with the targets."""
+    F = functions
+    rows = docs.select("doc_id", "source", mixing.word_count(docs.text).alias("n"), F.xxhash64("text").alias("h")).withColumn("mix", F.xxhash64(F.lit(mixing.SEED), "doc_id", "n", "h")).collect()
+    names = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
+    spark = docs.sparkSession
+    offsets = [r[0] for r in spark.range(len(names)).orderBy("id").select(mixing._unit(F.lit(mixing.SEED), F.col("id").cast("int"))).collect()]
+    size, bucket = Counter((r.source, r.n) for r in rows), max(mixing.LEAST_BUCKET, isqrt(len(rows)))
+    Own = namedtuple("Own", "doc_id source n mix offset bucket")
+    own = [Own(r.doc_id, r.source, r.n, r.mix, offsets[names.index(r.source)], r.mix % -(-size[r.source, r.n] // bucket)) for r in rows]
+    want, goal = brute(own)
     got = mixing.mixed_sizes(docs).collect()
-    want = {i: (s, n) for i, s, n in sizes_of(docs)}
-    total = Counter()
-    for s, n in want.values():
-        total[s] += n
-    goal, taken = mixing.targets(list(total.items())), defaultdict(int)
-    assert len(got) == len(want)
+    assert {r.doc_id: r.copies for r in got} == want and len(got) == len(rows)
+    source, taken = {r.doc_id: r.source for r in rows}, Counter()
     for r in got:
-        s, n = want[r.doc_id]
-        assert (r.size, r.source_size) == (n, total[s]) and r.target == pytest.approx(goal[s])
-        rate = goal[s] / total[s]
-        assert int(rate) <= r.copies <= min(3, int(rate) + 1) and r.taken == r.copies * n <= 3 * n
-        taken[s] += r.taken
-    for s in goal:
-        assert abs(taken[s] - goal[s]) <= 0.05 * goal[s]
+        assert r.taken == r.copies * r.size <= 3 * r.size and r.target == pytest.approx(goal[source[r.doc_id]])
+        taken[source[r.doc_id]] += r.taken
+    for s, target in goal.items():
+        sizes = [r.n for r in rows if r.source == s]
+        assert abs(taken[s] - target) <= max(sizes) + 1
+    return got
+
+
+def test_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = checked(docs)
+    want = {i: n for i, _, n in sizes_of(docs)}
+    assert {r.doc_id: r.size for r in got} == want
     assert sorted(map(tuple, mixing.mixed_sizes(docs.repartition(7)).collect())) == sorted(map(tuple, got))
 
 
-def test_copies_cross_the_integers_once_each(spark):
-    """The emitted copies of a source are those of the prefix sum, whatever the buckets."""
-    docs = spark.createDataFrame([(i, "w " * (1 + i % 50), "s" if i % 3 else "t") for i in range(3000)], "doc_id long, text string, source string")
-    got = mixing.mixed_sizes(docs).collect()
-    for source in (0, 1):
-        rows = [r for r in got if (r.doc_id % 3 == 0) == bool(source)]
-        rate = rows[0].target / rows[0].source_size
-        assert abs(sum(r.copies for r in rows) - rate * len(rows)) <= 1
+def test_copies_cross_the_integers_once_each(spark, monkeypatch):
+    """Whatever the buckets: many sizes, one hot size, a source without words and one whose target is capped."""
+    monkeypatch.setattr(mixing, "LEAST_BUCKET", 20)
+    rows = [(i, "w " * (1 + i % 50 if i % 4 else 7), ["s", "t", "u", None][min(i % 7, 3)] if i > 20 else "tiny") for i in range(3000)]
+    rows += [(9000 + i, "" if i % 2 else None, "mute") for i in range(5)]
+    checked(spark.createDataFrame(rows, "doc_id long, text string, source string"))
 
 
 def test_mixed_rows_agree_with_sizes(spark):
