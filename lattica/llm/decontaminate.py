@@ -7,8 +7,9 @@ only place where the window can start; a start before the text or an end after i
 verified word by word.
 
 Words are compared with A-Z lower-cased and all else unchanged; the prefix uses the full lower case, which only
-adds candidates. The benchmark's prefix words are given to the scan as literals in blocks of ``BLOCK`` words:
-a larger benchmark costs more scans of the corpus and not more memory.
+adds candidates. Up to ``LITERALS`` prefix words are literals of the scan; more are joined, in parts of
+``BROADCAST_WINDOWS`` windows, so a larger benchmark costs more scans of the corpus and not more memory. A hit
+carries the words around it that its windows can cover, not its text.
 
 Null and empty texts have no words. Items without words match nothing; items with a null id mark words but
 cannot be listed. Repeated rows get equal results, each as a row. Empty tables on either side work.
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-WINDOW, BLOCK = 10, 20_000
-#: More windows than these are joined by a shuffle.
+WINDOW, LITERALS = 10, 20_000
+#: Windows, or texts with hits, are broadcast up to so many rows (of a few hundred bytes each), else shuffled.
 BROADCAST_WINDOWS = 200_000
 #: ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` as it reads before A-Z are lower-cased.
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
@@ -52,58 +53,67 @@ def _key(text: Column) -> dict[str, Column]:
     return {"k1": F.xxhash64(body), "k2": F.xxhash64(F.lit(7), body)}
 
 
-def _blocks(words: DataFrame) -> list[list[str]]:
-    """The words in blocks: the benchmark's own vocabulary, which does not grow with the corpus."""
-    all_words = sorted(r[0] for r in words.distinct().collect())
-    return [all_words[i : i + BLOCK] for i in range(0, len(all_words), BLOCK)]
+def _literals(words: DataFrame) -> list[str] | None:
+    """The distinct words if they are few: part of the benchmark's own vocabulary, which does not grow with the corpus."""
+    found = words.distinct().limit(LITERALS + 1).collect()
+    return sorted(r[0] for r in found) if len(found) <= LITERALS else None
 
 
-def _places(block: list[str]) -> Column:
-    return F.filter(F.transform("w", lambda x, i: F.when(F.lower(x).isin(block), i).otherwise(-1)), lambda i: i >= 0)
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_WINDOWS else df
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+def rarity(docs: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:
+    """word, seen: how often the words of the vocabulary occur in the corpus."""
+    known, exploded = _literals(vocabulary), docs.select(F.explode(_words(docs[text])).alias("x")).select(F.lower("x").alias("word"))
+    if known is not None:
+        exploded = exploded.where(F.col("word").isin(known))
+    counted = exploded.groupBy("word").agg(F.count(F.lit(1)).alias("seen"))
+    return counted if known is not None else counted.join(vocabulary.distinct(), "word", "left_semi")
 
 
-def rarity(docs: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame | None:
-    """word, seen: how often the words of the vocabulary occur in the corpus."""
-    exploded = docs.select(F.explode(_words(docs[text])).alias("x")).select(F.lower("x").alias("word"))
-    blocks = _blocks(vocabulary)
-    return _union([exploded.where(F.col("word").isin(b)).groupBy("word").agg(F.count(F.lit(1)).alias("seen")) for b in blocks]) if blocks else None
-
-
-def occurrences(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame | None:
-    """k1, k2, start, length, item: every place where a window occurs in a text."""
-    vocabulary = windows.select(F.explode("window").alias("x")).select(F.lower("x").alias("word"))
-    seen = rarity(docs, text, vocabulary)
-    if seen is None:
-        return None
-    seen = stored(seen, "decontaminate-rarity")
+def _hits(docs: DataFrame, text: str, size: int, known: list[str] | None) -> DataFrame:
+    """k1, k2 and a row for each word of a text, or for each known one: p (its place), word, n (the text's words) and
+    near (the words around it that a window of ``size`` can cover, from place ``at`` on)."""
+    first = lambda i: F.greatest(i - (size - 1), F.lit(0))
+
+    def found(w: Column) -> Column:
+        one = lambda x, i: F.struct(i.alias("p"), F.lower(x).alias("word"), F.size(w).alias("n"), first(i).alias("at"), F.slice(w, first(i) + 1, F.lit(2 * size - 1)).alias("near"))
+        return F.transform(w, one) if known is None else F.filter(F.transform(w, lambda x, i: F.when(F.lower(x).isin(known), one(x, i))), lambda x: x.isNotNull())
+
+    # the text is split once: a column of words would be split again for each use in the lambda
+    texts = docs.select(docs[text].alias("text")).withColumns(_key(F.col("text")))
+    return texts.select("k1", "k2", F.inline(F.transform(F.array(_words(F.col("text"))), found)[0]))
+
+
+def occurrences(docs: DataFrame, windows: DataFrame, text: str, size: int = WINDOW) -> DataFrame:
+    """k1, k2, start, length, item: every place where a window occurs in a text. ``windows`` has id, item and window."""
+    placed = windows.select("id", F.posexplode("window").alias("offset", "x")).select("id", "offset", F.lower("x").alias("word"))
+    seen = stored(rarity(docs, text, placed.select("word")), "decontaminate-rarity")
     # the rarest word of each window and its first place: windows are the benchmark's, not the corpus's
-    numbered = windows.withColumn("id", F.xxhash64(F.to_json(F.struct("item", "window"))))
-    placed = numbered.select("id", F.posexplode("window").alias("offset", "x")).select("id", "offset", F.lower("x").alias("word"))
     ranked = placed.join(seen, "word", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "word", "offset")).alias("rarest"))
-    prefixes = stored(numbered.join(ranked, "id").select("item", "window", F.size("window").alias("length"), "rarest.word", "rarest.offset", "rarest.seen").where("seen > 0"), "decontaminate-prefixes")
-    parts = []
-    for block in _blocks(prefixes.select("word")):
-        w = docs.select(docs[text].alias("text")).withColumns(_key(F.col("text"))).withColumn("w", _words(F.col("text"))).drop("text")
-        hits = w.withColumn("at", _places(block)).where("size(at) > 0").select("k1", "k2", "w", F.explode("at").alias("p"))
-        hits = hits.withColumn("word", F.lower(F.get("w", F.col("p"))))
-        one = prefixes.where(F.col("word").isin(block))
-        joined = hits.join(F.broadcast(one) if one.count() <= BROADCAST_WINDOWS else one, "word").withColumn("start", F.col("p") - F.col("offset"))
-        bounded = joined.where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.size("w")))
-        parts.append(bounded.where(_plain(F.slice("w", F.col("start") + 1, F.col("length"))) == F.col("window")).select("k1", "k2", "start", "length", "item"))
-    return _union(parts) if parts else None
+    prefixes = stored(windows.join(ranked, "id").select("item", "window", F.size("window").alias("length"), "rarest.word", "rarest.offset", "rarest.seen").where("seen > 0"), "decontaminate-prefixes")
+    known, total = _literals(prefixes.select("word")), prefixes.count()
+    parts, hits = max(1, -(-total // BROADCAST_WINDOWS)), _hits(docs, text, size, known)
+    found = []
+    for part in range(parts):  # one, unless the benchmark has very many windows
+        own = prefixes.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == part) if parts > 1 else prefixes
+        start = F.col("p") - F.col("offset")
+        joined = hits.join(F.broadcast(own) if parts == 1 else _small(own, own.count()), "word").withColumn("start", start)
+        bounded = joined.where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.col("n")))
+        same = _plain(F.slice("near", F.col("start") - F.col("at") + 1, F.col("length"))) == F.col("window")
+        found.append(bounded.where(same).select("k1", "k2", "start", "length", "item"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _windows(items: DataFrame, item_id: str, item_text: str, size: int) -> DataFrame:
+    """The windows with an id each, fixed by being written."""
+    return stored(item_windows(items, item_id, item_text, size).withColumn("id", F.monotonically_increasing_id()), "decontaminate-windows")
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
     """id, n_words, n_hit, n_items, items_sha256 and contaminated, a row for each document."""
-    spark = docs.sparkSession
-    windows = stored(item_windows(items, item_id, item_text, size), "decontaminate-windows")
-    found = occurrences(docs, windows, text)
-    if found is None:
-        found = spark.createDataFrame([], f"k1 long, k2 long, start int, length int, item {items.schema[item_id].dataType.simpleString()}")
+    found = occurrences(docs, _windows(items, item_id, item_text, size), text, size)
     by_text = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set("item").alias("found"))
     # words under the union of the spans, which are sorted by start
     none = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
@@ -115,11 +125,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
 
     hit = F.aggregate(F.array_sort("spans"), none, step)["n"]
     listed = F.array_join(F.array_sort(F.transform("found", lambda x: x.cast("string"))), ",")
-    marked = by_text.select("k1", "k2", hit.alias("hit"), F.size("found").cast("long").alias("listed"), F.sha2(listed, 256).alias("digest"))
+    marked = stored(by_text.select("k1", "k2", hit.alias("hit"), F.size("found").cast("long").alias("listed"), F.sha2(listed, 256).alias("digest")), "decontaminate-marked")
     n_words = F.coalesce(F.regexp_count(docs[text], F.lit(WORD)), F.lit(0)).cast("long").alias("n_words")
     rows = docs.select(docs[id_column].alias("id"), n_words, *(c.alias(k) for k, c in _key(docs[text]).items()))
     n_hit = F.coalesce("hit", F.lit(0)).cast("long")
-    return rows.join(marked, ["k1", "k2"], "left").select(
+    return rows.join(_small(marked, marked.count()), ["k1", "k2"], "left").select(
         F.col("id").alias(id_column), "n_words", n_hit.alias("n_hit"), F.coalesce("listed", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
@@ -127,13 +137,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
     """The documents in which no window occurs, with all their columns."""
-    windows = stored(item_windows(items, item_id, item_text, size), "decontaminate-windows")
-    found = occurrences(docs, windows, text)
-    if found is None:
-        return docs
+    found = occurrences(docs, _windows(items, item_id, item_text, size), text, size)
     bad = stored(found.select("k1", "k2").distinct(), "decontaminate-found")
     own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), *(c.alias(k) for k, c in _key(docs[text]).items()))
-    return own.join(bad, ["k1", "k2"], "left_anti").select("_row.*")
+    return own.join(_small(bad, bad.count()), ["k1", "k2"], "left_anti").select("_row.*")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

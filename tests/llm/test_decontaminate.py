@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 
+import pytest
+from pyspark.sql import functions
+
 from lattica.llm import decontaminate
 
 from .oracle import compare
@@ -51,13 +54,28 @@ def test_against_brute_force(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [i for i, x in enumerate(want) if not x[-1]]
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("limits", [{"LITERALS": 300}, {"LITERALS": 300, "BROADCAST_WINDOWS": 500}, {"BROADCAST_WINDOWS": 1}])
+def test_large_benchmarks_give_the_same(spark, monkeypatch, limits):
     docs, items = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
     whole = sorted(map(tuple, decontaminate.contamination(docs, items).collect()))
-    monkeypatch.setattr(decontaminate, "BLOCK", 300)
+    if limits.get("BROADCAST_WINDOWS") == 1:
+        items = items.where("item_id < 40").orderBy(functions.length("text")).limit(2)
+        whole = sorted(map(tuple, decontaminate.contamination(docs, items).collect()))
+    for name, value in limits.items():
+        monkeypatch.setattr(decontaminate, name, value)
     assert sorted(map(tuple, decontaminate.contamination(docs, items).collect())) == whole
 
 
+def test_hot_words_and_long_texts(spark):
+    """A one-word item that is every other word of a long text, and of many texts."""
+    items = [(1, "the"), (2, "a b"), (3, " ".join(["the"] * 12))]
+    texts = ["the x " * 20_000, "the " * 5000, *(["the a b the"] * 300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in rows}
+    assert got[0] == (40_000, 20_000, 1) and got[1] == (5000, 5000, 2) and got[2] == got[301] == (4, 4, 2)
+
+
 def test_against_sql(spark):
     sf = "/root/testdata/sf0.01"
     got = compare(decontaminate.op5_decontaminate(spark, sf), decontaminate.OP5_SQL, sf)
