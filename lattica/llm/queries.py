@@ -6,13 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licenses, mixing, neardup, packing, pii, quality, substrings, urls
-
-
-def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+from . import chat, decontaminate, licenses, mixing, neardup, packing, pii, pipeline, quality, substrings, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -27,7 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": pii.op8_pii,
         "op9_substrings": substrings.op9_substrings,
         "op10_packing": packing.op10_packing,
-        "pipeline": _pipeline,
+        "pipeline": pipeline.run,
     }
 
 

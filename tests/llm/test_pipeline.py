@@ -64,3 +64,25 @@ def test_near_duplicates_of_a_hot_group(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     kept = dict(corpus_pipeline.STAGES)["near-duplicates"](spark, docs, SF)
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for c, _ in classes.values()})
+
+
+def test_edges_from_end_to_end(spark, tmp_path):
+    """Nulls in any column, repeated rows, a very long text, rows of one id and text, and columns with clashing names."""
+    good = lambda k: f"Page {k}. " + " ".join(f"word{k}x{j}" for j in range(80)) + "."
+    rows = [(1, good(1), "en", "a", 9), (1, good(1), "en", "a", 9), (1, good(1), "de", "b", None), (2, good(2), None, None, 9), (None, good(3), "en", "a", 9),
+            (4, None, "en", "a", 9), (5, "", "en", "a", 9), (6, "\n".join(good(f"6-{i}") for i in range(3000)), "en", None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 AS kept", "2 AS _row", "3 AS k", "4 AS _n", "5 AS tie", "6 AS id")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, None), (None, "word2x3 word2x4")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    again = []
+    for _ in range(2):
+        seen = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            seen = stored(stage(spark, seen, str(tmp_path)), f"test-{name.replace(' ', '-')}")
+            assert seen.columns == docs.columns
+        again.append(sorted(map(str, seen.collect())))
+        ids = {r.doc_id for r in seen.collect()}
+        assert ids <= {1, None, 6} and 6 in ids
+    assert again[0] == again[1]
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {d for r in packed for d in r.doc_ids} == ids
