@@ -38,7 +38,7 @@ SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 4
 COMMON_SHARE, LEAST_IDF = 0.001, 0.9
 #: A block of the frequency scan closes at so many shingles and documents, or at so many shingles alone; a scan's
 #: partitions are joined to have about so many documents; candidates are counted in scans of so many at a time.
-BLOCK_SHINGLES, BLOCK_DOCS, MOST_SHINGLES, PARTITION_DOCS, CANDIDATES = 1_000_000, 8000, 8_000_000, 8000, 2_000_000
+BLOCK_SHINGLES, BLOCK_DOCS, MOST_SHINGLES, PARTITION_DOCS, CANDIDATES = 1_000_000, 4000, 8_000_000, 8000, 2_000_000
 #: A block proposes what is in more than this part of the share of its documents.
 BLOCK_PART = 0.25
 

@@ -102,7 +102,7 @@ class _Poly:
     def __call__(self, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         n = len(values)
         if n + 1 > len(self.up):
-            m = max(n + 1, 1 << 20)
+            m = 1 << max(16, (n + 1).bit_length())
             self.up, self.down = _powers(self.base, m), _powers(self.inverse, m)
         total = np.zeros(n + 1, _U)
         np.cumsum(values * self.up[:n], out=total[1:])
