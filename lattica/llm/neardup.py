@@ -322,13 +322,15 @@ def _alike(rest: DataFrame, vectors: DataFrame) -> DataFrame:
     """
     least = SIMILAR * (1 - 1e-5)  # weights are rounded
     tokens = stored(_tokens(rest, vectors), "neardup-tokens")
-    often = tokens.groupBy("id").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    # tables of one row an id are written, as only a join of two plain tables is split at a hot id
+    often = stored(tokens.groupBy("id").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "neardup-often")
     tail = Window.partitionBy("k").orderBy(F.desc("often"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
     prefix = tokens.join(often, "id").withColumn("tail", F.sum(F.col("w").cast("double")).over(tail)).where(F.col("tail") >= least * F.col("heavy"))
     prefix = stored(prefix.select("id", "k", "c", "heavy", "tail"), "neardup-prefixes")
     # texts of a shingle's largest component need to meet only the others
     parts = prefix.groupBy("id", "c").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("id").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("id", "main")
+    mixed = parts.groupBy("id").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    mixed = stored(mixed.select("id", "main"), "neardup-mixed")
     met = stored(prefix.join(mixed, "id"), "neardup-met")
     light = met.where(F.col("tail") >= 2 * least / (1 + least) * F.col("heavy"))
     main, shared = F.col("c") == F.col("main"), F.least("x.tail", "y.tail")
