@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
+from dataclasses import replace
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import Conflict, OutOfRange
-from ..functions.scratch import kept
+from ..functions.scratch import exists, kept, session_dir
 from ..plans.selection import Selection
 from ..sources.storage import Storage, inventory
 from .dims import Bounds, Dim
@@ -36,7 +39,7 @@ class World:
         self.pos_names = [f"p{i}" for i in range(len(dims))]
         self.storage, self.compat, self.clamp, self.unique_id = storage, compat, clamp, unique_id
         self.chunks_limit: int | None = 24
-        self._changes: list[DataFrame] = []  # touched chunks of each change
+        self._writes = f"{session_dir(spark)}/writes-{uuid.uuid4().hex}"  # the touched chunks of each change
 
     @staticmethod
     def of(spark: SparkSession, dim_names: Sequence[str], *dims: tuple[int, Bounds | range | slice | None], **more) -> World:
@@ -49,18 +52,20 @@ class World:
 
     # reading
 
-    def scan(self) -> DataFrame:
-        return self.storage.scan()
+    def scan(self, shape: Shape | None = None) -> DataFrame:
+        """All rows; with a shape, at least those of its chunks."""
+        return self.storage.scan(shape)
 
     def with_pos(self, df: DataFrame) -> DataFrame:
         return with_positions(df, self.dims, self.dim_names, self.pos_names)
 
     def in_domain(self) -> Column:
-        checks = [d.in_domain(F.col(c)) for d, c in zip(self.dims, self.dim_names, strict=True)]
-        out = checks[0]
-        for c in checks[1:]:
-            out = out & c
-        return out
+        return reduce(and_, (d.in_domain(F.col(c)) for d, c in zip(self.dims, self.dim_names, strict=True)))
+
+    def in_chunk(self, pos: Sequence[int]) -> Column:
+        """Whether a row's values all lie in the chunk."""
+        ranges = [d.values_of(p) for d, p in zip(self.dims, pos, strict=True)]
+        return reduce(and_, (replace(d, lo=a, hi=b, width=1).in_domain(F.col(c)) for d, c, (a, b) in zip(self.dims, self.dim_names, ranges, strict=True)))
 
     def slab(self, dim: int, bounds: Bounds | int | range | slice | None) -> tuple[Box | None, Column]:
         """The box of all chunks whose ``dim`` the bounds touch, None out of the domain; and the exact values."""
@@ -77,7 +82,7 @@ class World:
 
     def select(self, dim: int, bounds: Bounds | int | range | slice | None = None, granularity: str = "chunk") -> Selection:
         box, exact = self.slab(dim, bounds)
-        return Selection(self, Shape((box,)) if box else Shape(), exact, None, granularity)
+        return Selection.of(self, box, exact, granularity)
 
     def select_all(self) -> Selection:
         return self.select(0, Bounds.all())
@@ -90,7 +95,12 @@ class World:
         for p, d in zip(pos, self.dims, strict=True):
             if not 0 <= p < d.chunks_len:
                 raise OutOfRange((0, d.chunks_len - 1), p)
-        return self.scan().where(Box(tuple(pos), tuple(pos)).predicate([F.col(n) for n in self.pos_names], [d.chunks_len for d in self.dims]))
+        box = Box(tuple(pos), tuple(pos))
+        return self.scan(Shape((box,))).where(box.predicate([F.col(n) for n in self.pos_names], [d.chunks_len for d in self.dims]))
+
+    def at(self, pos: Sequence[int]) -> Chunk:
+        """One chunk, with changes that are bound to it."""
+        return Chunk(self, pos)
 
     def chunk_of_data(self, values: Sequence[int]) -> DataFrame:
         return self.chunk(self.chunk_pos(values))
@@ -101,8 +111,11 @@ class World:
 
     def writes(self) -> DataFrame:
         """How many changes through this object touched each chunk."""
-        empty = self.spark.createDataFrame([], ", ".join(f"{p} long" for p in self.pos_names))
-        return reduce(DataFrame.unionByName, self._changes, empty).groupBy(*self.pos_names).agg(F.count(F.lit(1)).alias("writes"))
+        if not exists(self.spark, self._writes):
+            rows = self.spark.createDataFrame([], ", ".join(f"{p} long" for p in self.pos_names))
+        else:
+            rows = self.spark.read.parquet(self._writes)
+        return rows.groupBy(*self.pos_names).agg(F.count(F.lit(1)).alias("writes"))
 
     # changing
 
@@ -110,16 +123,27 @@ class World:
     def _key(self) -> list[str]:
         return [self.dim_names[0]] if self.unique_id else [*self.pos_names, self.dim_names[0]]
 
-    def _checked(self, df: DataFrame, order: str | None) -> DataFrame:
-        """The batch with coordinates, one row for each key: the last by ``order``."""
-        placed = self.with_pos(df.where(self.in_domain()))
+    def _incoming(self, df: DataFrame, order: str | None, strict: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The batch with coordinates, one row for each key, written once; the chunks that it touches; and
+        the rows out of the domain, which ``strict`` does not allow. Domains and
+        double keys are checked in the aggregate that yields the chunks."""
+        inside, places = self.in_domain(), [F.when(self.in_domain(), d.chunk_column(F.col(c))).alias(p) for d, c, p in zip(self.dims, self.dim_names, self.pos_names, strict=True)]
+        placed = df.select("*", *places, inside.alias("_in"))
         if order:
-            last = Window.partitionBy(*self._key).orderBy(F.desc(order))
-            return placed.withColumn("_nth", F.row_number().over(last)).where("_nth = 1").drop("_nth", order)
-        twice = placed.groupBy(*self._key).count().where("count > 1").first()
-        if twice:
-            raise Conflict(f"the batch holds {twice[self.dim_names[0]]} more than once and has no order")
-        return placed
+            placed = placed.withColumn("_nth", F.rank().over(Window.partitionBy(*self._key, "_in").orderBy(F.desc(order)))).where("_nth = 1 OR NOT _in").drop("_nth")
+        placed = kept(placed, "incoming")
+        by_key = placed.groupBy("_in", *self._key, *([] if not self.unique_id else self.pos_names)).agg(F.count(F.lit(1)).alias("n"))
+        if self.unique_id:
+            by_key = by_key.groupBy("_in", self.dim_names[0]).agg(F.sum("n").alias("n"), *(F.first(p).alias(p) for p in self.pos_names))
+        touched = kept(by_key.groupBy("_in", *self.pos_names).agg(F.max("n").alias("most"), F.max_by(self.dim_names[0], "n").alias("which")), "touched")
+        worst = touched.select("_in", "most", "which").orderBy("_in", F.desc("most")).limit(2).collect() if strict else touched.where("_in").orderBy(F.desc("most")).limit(1).collect()
+        if worst and not worst[0]["_in"]:
+            self._require_domain(placed)
+        if worst and worst[0]["_in"] and worst[0]["most"] > 1:
+            raise Conflict(f"the batch holds {worst[0]['which']} more than once{' in the same turn' if order else ' and has no order'}")
+        drop = ["_in", *([order] if order else [])]
+        own = touched.where("_in").select(*self.pos_names)
+        return placed.where("_in").drop(*drop), own, placed.where("NOT _in").drop(*drop, *self.pos_names)
 
     def _require_domain(self, df: DataFrame) -> None:
         for d, c in zip(self.dims, self.dim_names, strict=True):
@@ -133,53 +157,54 @@ class World:
         if len(few) > CHUNK_LITERALS:
             return self.scan().join(touched, self.pos_names, "left_semi")
         if not few:
-            return self.scan().where(F.lit(False))
+            return self.scan(Shape()).where(F.lit(False))
+        rows = self.scan(Shape(tuple(Box(tuple(r), tuple(r)) for r in few)))
         if len(self.pos_names) == 1:
-            return self.scan().where(F.col(self.pos_names[0]).isin([r[0] for r in few]))
+            return rows.where(F.col(self.pos_names[0]).isin([r[0] for r in few]))
         listed = ", ".join(f"({', '.join(f'{v}L' for v in r)})" for r in few)
-        return self.scan().where(F.expr(f"({', '.join(self.pos_names)}) IN ({listed})"))
+        return rows.where(F.expr(f"({', '.join(self.pos_names)}) IN ({listed})"))
 
     def _touched(self, *frames: DataFrame) -> DataFrame:
-        out = frames[0].select(*self.pos_names)
-        for f in frames[1:]:
-            out = out.unionByName(f.select(*self.pos_names))
-        return kept(out.distinct(), "touched")
+        return kept(reduce(DataFrame.unionByName, (f.select(*self.pos_names) for f in frames)).distinct(), "touched")
+
+    def _count_writes(self, touched: DataFrame) -> None:
+        touched.select(*self.pos_names).coalesce(1).write.mode("append").parquet(self._writes)
 
     def insert(self, df: DataFrame, order: str | None = None) -> DataFrame:
         """Upsert: rows with a stored key replace the stored row. Returns the replaced rows. A value out of a
-        domain fails the whole batch. A key that occurs twice in it needs ``order``; the last row wins."""
-        self._require_domain(df)
-        new = kept(self._checked(df, order), "incoming")
-        old_places = self.scan().join(new.select(self.dim_names[0]), self.dim_names[0], "left_semi") if self.unique_id else new
-        touched = self._touched(new, old_places)
+        domain fails the whole batch. A key that occurs twice in it needs ``order``; the last row wins, and two
+        last rows are a conflict."""
+        new, touched, _ = self._incoming(df, order, strict=True)
+        if self.unique_id:
+            touched = self._touched(touched, self.scan().join(new.select(self.dim_names[0]), self.dim_names[0], "left_semi"))
         base = self._of_chunks(touched)
-        self._changes.append(touched)
         keys = new.select(*self._key)
         old = kept(base.join(keys, self._key, "left_semi"), "replaced")
-        self.storage.overwrite(touched, base.join(keys, self._key, "left_anti").unionByName(new.select(*base.columns)))
+        rows = base.join(keys, self._key, "left_anti").unionByName(new.select(*base.columns))
+        self.storage.overwrite(touched, rows) if self.unique_id else self.storage.overwrite(touched, rows, emptied=[])
+        self._count_writes(touched)
         return old.drop(*self.pos_names)
 
     def try_insert(self, df: DataFrame, order: str | None = None) -> DataFrame:
         """Inserts the rows whose key is not stored. Returns the rejected rows: stored keys, and values out of
         a domain."""
-        outside = df.where(~self.in_domain())
-        new = kept(self._checked(df, order), "incoming")
-        base = self.scan() if self.unique_id else self._of_chunks(self._touched(new))
+        new, touched, outside = self._incoming(df, order, strict=False)
+        base = self.scan() if self.unique_id else self._of_chunks(touched)
         keys = kept(base.select(*self._key).join(new.select(*self._key), self._key, "left_semi").distinct(), "stored-keys")
         rejected = new.join(keys, self._key, "left_semi").drop(*self.pos_names)
         out = kept(rejected.unionByName(outside.select(*rejected.columns)), "rejected")
         accepted = kept(new.join(keys, self._key, "left_anti"), "accepted")
-        self._changes.append(accepted.select(*self.pos_names).distinct())
         self.storage.append(accepted)
+        self._count_writes(accepted.select(*self.pos_names).distinct())
         return out
 
     def _rewrite(self, gone: DataFrame, added: DataFrame | None = None) -> None:
         touched = self._touched(gone, *([added] if added is not None else []))
-        self._changes.append(touched)
         base = self._of_chunks(touched)
         keys = [*self.pos_names, self.dim_names[0]]
         left = base.join(gone.select(*keys), keys, "left_anti")
         self.storage.overwrite(touched, left if added is None else left.unionByName(added.select(*base.columns)))
+        self._count_writes(touched)
 
     def delete(self, selection: Selection) -> DataFrame:
         """Deletes the selected rows and returns them."""
@@ -211,3 +236,33 @@ class World:
             raise Conflict(f"{clash[self.dim_names[0]]} would be twice in chunk {tuple(clash)[:-1]}")
         self._rewrite(old, new)
         return old.drop(*self.pos_names)
+
+
+class Chunk:
+    """One chunk of a world. Its changes take only rows that lie in it."""
+
+    def __init__(self, world: World, pos: Sequence[int]):
+        self.world, self.pos = world, tuple(pos)
+        world.chunk(pos)  # raises outside the grid
+
+    def rows(self) -> DataFrame:
+        return self.world.chunk(self.pos)
+
+    def holds(self, df: DataFrame) -> bool:
+        """Whether all rows lie in this chunk."""
+        return df.where(~self.world.in_chunk(self.pos)).isEmpty()
+
+    def insert(self, df: DataFrame, order: str | None = None) -> DataFrame:
+        """As World.insert; a row of another chunk fails the whole batch."""
+        for d, c, p in zip(self.world.dims, self.world.dim_names, self.pos, strict=True):
+            own = replace(d, lo=d.values_of(p)[0], hi=d.values_of(p)[1], width=1)
+            bad = df.where(~own.in_domain(F.col(c))).select(c).first()
+            if bad is not None:
+                raise OutOfRange((own.lo, own.hi), bad[0])
+        return self.world.insert(df, order)
+
+    def try_insert(self, df: DataFrame, order: str | None = None) -> DataFrame:
+        """As World.try_insert; rows of other chunks are rejected."""
+        mine = self.world.in_chunk(self.pos)
+        rejected = self.world.try_insert(df.where(mine), order)
+        return rejected.unionByName(df.where(~mine).select(*rejected.columns))

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import Bounds, ClusteredStorage, Dim, ParquetStorage, RecordStorage, RecordType, Selection, Session, VirtualStorage, World, write_behind
-from .functions.scratch import kept, session_dir
+from . import Bounds, ClusteredStorage, Dim, MemoryStorage, ParquetStorage, RecordStorage, RecordType, Selection, Session, VirtualStorage, World, write_behind
+from .functions.scratch import session_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,9 @@ SELECTIONS: dict[str, tuple[Callable[[World], Selection], str]] = {
     "exact_residual": (lambda w: w.select(0, B.between(3000, 6000)).and_(1, B.between(200, 700)).at("exact"), "d0 BETWEEN 3000 AND 6000 AND d1 BETWEEN 200 AND 700"),
     "exact_plus": (lambda w: w.select(0, 3000).plus(1, B.lt(5)).at("exact"), "d0 = 3000 OR d1 < 5"),
     "ext_or": (lambda w: (w.select(0, 3000).and_(1, 200)) | (w.select(0, 9000).and_(1, 300)), "p0 = 2 AND p1 = 0 OR p0 = 8 AND p1 = 1"),
+    "ext_or_hints": (lambda w: w.select(0, B.between(3000, 6000)).hint(3005) | w.select(1, B.le(255)).hints([7, 9001]) | w.select(0, 12000), "p0 BETWEEN 2 AND 5 AND d0 = 3005 OR p1 = 0 AND d0 IN (7, 9001) OR p0 = 11"),
+    "ext_or_then_hint": (lambda w: (w.select(0, 3000).hint(3005) | w.select(0, 9000)).hints([3005, 9001]).hint(9002), "(p0 = 2 AND d0 = 3005 OR p0 = 8) AND d0 IN (3005, 9001, 9002)"),
+    "ext_and_hints": (lambda w: w.select(0, B.between(3000, 9000)).hints(range(3000, 8000)) & (w.select(0, 4000).hint(4001) | w.select(1, B.le(700))), "p0 BETWEEN 2 AND 8 AND d0 >= 3000 AND d0 < 8000 AND (p0 = 3 AND d0 = 4001 OR p1 <= 2)"),
     "ext_and": (lambda w: w.select(0, B.between(3000, 9000)) & (w.select(0, 3000).plus(1, 300)), "p0 BETWEEN 2 AND 8 AND (p0 = 2 OR p1 = 1)"),
 }
 
@@ -346,11 +349,69 @@ def sel_minus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return world.select(0, B.between(3000, 6000)).minus(world.select(1, B.le(255))).select(*ALL.split(", "))
 
 
+def sel_minus_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    world = orders_world(spark, sf_dir)
+    return world.select(0, B.between(3000, 6000)).minus(world.select(0, B.between(3000, 6000)).hint(3005) | world.select(1, B.le(255)).hints([3006, 4242])).select(*ALL.split(", "))
+
+
 def sel_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Box by box, first axis fastest, then id: the row number makes the order part of the result."""
+    """Box by box, first axis fastest, then id: the place in the order is part of the result."""
     world = orders_world(spark, sf_dir)
-    rows = world.select(0, B.between(3000, 6000)).plus(1, 200).df(ordered=True).select("d0").limit(2**31 - 1)
-    return kept(rows, "ordered").select("d0")
+    return world.select(0, B.between(3000, 6000)).plus(1, 200).numbered().select("place", "d0")
+
+
+def positions_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order in which a selection enumerates its chunks, each once."""
+    world = orders_world(spark, sf_dir)
+    shape = world.select(0, B.le(2047)).and_(1, B.lt(512)).and_(2, 8192).plus(0, 1024).and_(1, B.le(1000)).and_(2, B.le(8300))
+    return spark.createDataFrame([(i, *p) for i, p in enumerate(shape.positions())], "place long, p0 long, p1 long, p2 long")
+
+
+def memory_world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    world = World(spark, STORED_DIMS, ["d0", "d1"])
+    world.storage = MemoryStorage(spark, STORED_SCHEMA, world.pos_names)
+    world.insert(_stored_rows(spark, sf_dir))
+    world.insert(_batch(spark, sf_dir))
+    world.delete(world.select(0, B.ge(200000)))
+    return _state(world)
+
+
+def write_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of three changes touched each chunk."""
+    world = stored_world(spark, sf_dir)
+    world.insert(_batch(spark, sf_dir))
+    world.delete(world.select(0, B.le(9000)).and_(1, B.lt(4096)))
+    world.try_insert(_stored_rows(spark, sf_dir).where("d0 < 100"))
+    return world.writes()
+
+
+def session_selects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A selection over stored rows and the pending ones of a session."""
+    session = Session(stored_world(spark, sf_dir))
+    session.insert(_batch(spark, sf_dir))
+    return session.select(0, B.between(3000, 210000)).and_(1, B.lt(4096)).df().select("d0", "d1", "price", "status", "p0", "p1")
+
+
+def chunk_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    world = stored_world(spark, sf_dir)
+    world.at((0, 0)).insert(_batch(spark, sf_dir).where("d0 < 16384 AND d1 < 4096"))
+    return _state(world)
+
+
+def chunk_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other chunks and stored ids."""
+    return stored_world(spark, sf_dir).at((12, 0)).try_insert(_batch(spark, sf_dir)).select(*STATE.split(", "))
+
+
+def drop_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk files that lose their last ten bytes: all but their last record are read."""
+    world = _record_world(spark, ORDER_RECORD, True)
+    world.insert(_stored_rows(spark, sf_dir))
+    storage, cut = world.storage, _record_world(spark, ORDER_RECORD, True)
+    short = storage._files(storage.root).select(*world.pos_names, F.expr("substring(content, 1, length(content) - 10)").alias("content"))
+    cut.storage._write(short)
+    cut.storage.tolerant = True
+    return _state(cut)
 
 
 _REST = f"SELECT {STATE} FROM s WHERE d0 NOT IN (SELECT d0 FROM b)"
@@ -392,7 +453,17 @@ OTHERS: dict[str, tuple[Query, str]] = {
     "ext_join": (sel_join, G + "SELECT c_mktsegment, count(*) AS n FROM g JOIN customer ON c_custkey = d1 WHERE p0 BETWEEN 2 AND 5 GROUP BY ALL"),
     "ext_topk": (sel_topk, G + "SELECT d0, o_totalprice FROM g WHERE p1 <= 2 ORDER BY o_totalprice DESC, d0 LIMIT 20"),
     "ext_minus": (sel_minus, G + f"SELECT {ALL} FROM g WHERE p0 BETWEEN 2 AND 5 AND p1 <> 0"),
-    "select_ordered": (sel_ordered, G + "SELECT d0 FROM g WHERE p0 BETWEEN 2 AND 5 OR p1 = 0"),
+    "ext_minus_hints": (sel_minus_hints, G + f"SELECT {ALL} FROM g WHERE p0 BETWEEN 2 AND 5 AND d0 <> 3005 AND NOT (p1 = 0 AND d0 IN (3006, 4242))"),
+    "select_ordered": (sel_ordered, G + "SELECT row_number() OVER (ORDER BY CASE WHEN p0 BETWEEN 2 AND 5 THEN 0 ELSE 1 END, p2, p1, p0, d0) - 1 AS place, d0 FROM g WHERE p0 BETWEEN 2 AND 5 OR p1 = 0"),
+    "positions_ordered": (positions_ordered, """SELECT row_number() OVER (ORDER BY box, p2, p1, p0) - 1 AS place, p0, p1, p2 FROM (
+      SELECT 0 AS box, a.range AS p0, b.range AS p1, 0::BIGINT AS p2 FROM range(0, 2) a, range(0, 2) b
+      UNION ALL SELECT 1, 1::BIGINT, b.range, c.range FROM range(0, 4) b, range(0, 4) c WHERE b.range > 1 OR c.range > 0)"""),
+    "memory_world": (memory_world, S + f", {BATCH} SELECT * FROM ({PLACED} ({_REST} UNION ALL SELECT * FROM b)) WHERE p0 < 12"),
+    "write_counts": (write_counts, S + f", {BATCH}, t AS (SELECT DISTINCT d0 // 16384 AS p0, d1 // 4096 AS p1 FROM b UNION ALL SELECT DISTINCT 0::BIGINT, 0::BIGINT FROM s WHERE d0 < 16384 AND d1 < 4096 UNION ALL SELECT DISTINCT d0 // 16384, d1 // 4096 FROM s WHERE d0 < 100 AND d1 < 4096) SELECT p0, p1, count(*) AS writes FROM t GROUP BY ALL"),
+    "session_selects": (session_selects, S + f", {BATCH} SELECT * FROM ({PLACED} ({_REST} UNION ALL SELECT * FROM b)) WHERE p0 <= 12 AND p1 = 0"),
+    "chunk_insert": (chunk_insert, S + f", {BATCH} {PLACED} (SELECT d0, d1, CASE WHEN d0 % 3 = 0 AND d0 < 16384 AND d1 < 4096 THEN -1.0::DOUBLE ELSE price END AS price, status FROM s)"),
+    "chunk_rejects": (chunk_rejects, S + f", {BATCH} SELECT * FROM b WHERE NOT (d0 // 16384 = 12 AND d1 // 4096 = 0)"),
+    "drop_malformed": (drop_malformed, S + f"SELECT * FROM ({PLACED} s) QUALIFY row_number() OVER (PARTITION BY p0, p1 ORDER BY d0 DESC) > 1"),
 }
 
 

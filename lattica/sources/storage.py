@@ -6,20 +6,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scratch import delete_path, exists, kept
+from ..operators.shape import Shape
 
 
 class Storage(Protocol):
-    """A back end. ``scan`` alone makes a read-only one. Chunk coordinates are the columns ``pos_names``."""
+    """A back end. ``scan`` alone makes a read-only one. Chunk coordinates are the columns ``pos_names``. ``scan``
+    may use the shape to read less, down to the rows of its chunks; callers filter by it in any case."""
 
-    def scan(self) -> DataFrame: ...
+    def scan(self, shape: Shape | None = None) -> DataFrame: ...
 
-    def overwrite(self, touched: DataFrame, rows: DataFrame) -> None:
-        """Replaces the touched chunks by the rows, all of which lie in them; a chunk without rows goes."""
+    def overwrite(self, touched: DataFrame, rows: DataFrame, emptied: list[Row] | None = None) -> None:
+        """Replaces the touched chunks by the rows, all of which lie in them; a chunk without rows goes.
+        ``emptied`` names these chunks where the caller knows them."""
 
     def append(self, rows: DataFrame) -> None: ...
 
@@ -33,10 +36,10 @@ class VirtualStorage:
     def __init__(self, df: DataFrame, pos_names: Sequence[str]):
         self.df, self.pos_names = df, list(pos_names)
 
-    def scan(self) -> DataFrame:
+    def scan(self, shape: Shape | None = None) -> DataFrame:
         return self.df
 
-    def overwrite(self, touched: DataFrame, rows: DataFrame) -> None:
+    def overwrite(self, touched: DataFrame, rows: DataFrame, emptied: list[Row] | None = None) -> None:
         raise NotImplementedError("a virtual world is read only")
 
     append = overwrite
@@ -51,10 +54,10 @@ class MemoryStorage:
         self.schema = T.StructType([*schema.fields, *(T.StructField(p, T.LongType()) for p in pos_names if p not in schema.fieldNames())])
         self.df = spark.createDataFrame([], self.schema)
 
-    def scan(self) -> DataFrame:
+    def scan(self, shape: Shape | None = None) -> DataFrame:
         return self.df
 
-    def overwrite(self, touched: DataFrame, rows: DataFrame) -> None:
+    def overwrite(self, touched: DataFrame, rows: DataFrame, emptied: list[Row] | None = None) -> None:
         self.df = kept(self.df.join(touched, self.pos_names, "left_anti").unionByName(rows.select(*self.schema.fieldNames())), "memory")
 
     def append(self, rows: DataFrame) -> None:
@@ -74,7 +77,7 @@ class ParquetStorage:
         self.data = T.StructType([f for f in schema.fields if f.name not in pos_names])
         self.schema = T.StructType([*self.data.fields, *(T.StructField(p, T.LongType()) for p in pos_names)])
 
-    def scan(self) -> DataFrame:
+    def scan(self, shape: Shape | None = None) -> DataFrame:
         if not exists(self.spark, self.root):
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(self.root)
@@ -84,11 +87,11 @@ class ParquetStorage:
         order = [*self.pos_names, *self.data.fieldNames()[:1]]
         dealt.sortWithinPartitions(*order).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*self.pos_names).parquet(self.root)
 
-    def overwrite(self, touched: DataFrame, rows: DataFrame) -> None:
-        rows = kept(rows, "replacement")  # reads the chunks that it replaces
-        emptied = touched.join(rows.select(*self.pos_names).distinct(), self.pos_names, "left_anti").collect()  # chunk coordinates only
-        if not rows.isEmpty():
-            self._write(rows, "overwrite")
+    def overwrite(self, touched: DataFrame, rows: DataFrame, emptied: list[Row] | None = None) -> None:
+        """The new files are complete before any old one goes, so ``rows`` may read the chunks that it replaces."""
+        if emptied is None:
+            emptied = touched.join(rows.select(*self.pos_names).distinct(), self.pos_names, "left_anti").collect()  # chunk coordinates only
+        self._write(rows, "overwrite")
         for r in emptied:
             delete_path(self.spark, f"{self.root}/" + "/".join(f"{p}={r[p]}" for p in self.pos_names))
 
@@ -104,14 +107,14 @@ class ClusteredStorage:
     def __init__(self, spark: SparkSession, root: str, pos_names: Sequence[str]):
         self.spark, self.root, self.pos_names = spark, root.rstrip("/"), list(pos_names)
 
-    def scan(self) -> DataFrame:
+    def scan(self, shape: Shape | None = None) -> DataFrame:
         return self.spark.read.parquet(self.root)
 
     def create(self, rows: DataFrame, id_name: str) -> None:
         order = [*self.pos_names, id_name]
         rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(self.root)
 
-    def overwrite(self, touched: DataFrame, rows: DataFrame) -> None:
+    def overwrite(self, touched: DataFrame, rows: DataFrame, emptied: list[Row] | None = None) -> None:
         raise NotImplementedError("a clustered world is read only")
 
     append = overwrite

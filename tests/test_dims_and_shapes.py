@@ -128,6 +128,40 @@ def test_selections_against_a_row_filter(grid, steps):
     assert sorted(tuple(r)[:3] for r in grid.scan().where(by_position).collect()) == want
 
 
+IDS = st.none() | st.lists(st.integers(0, 99), max_size=30)
+
+
+@given(st.lists(st.tuples(STEP, IDS, st.sampled_from(["or", "and", "minus"])), min_size=2, max_size=3), IDS)
+@settings(max_examples=25, deadline=None)
+def test_hints_in_combinations_against_a_row_filter(grid, parts, last):
+    try:
+        branches = []
+        for step, ids, op in parts:
+            picked, inside = grid.select(*step[1:]), _model(grid, [step], False)
+            branches.append((picked if ids is None else picked.hints(ids), lambda v, f=inside, ids=ids: f(v) and (ids is None or v[0] in ids), op))
+    except ValueError:
+        return
+    rows = [tuple(r)[:3] for r in grid.scan().collect()]
+    selection, want = branches[0][:2]
+    for other, inside, op in branches[1:]:
+        if op == "minus":
+            got = sorted(tuple(r)[:3] for r in selection.minus(other).collect())
+            assert got == sorted(v for v in rows if want(v) and not inside(v))
+        elif op == "or":
+            selection, want = selection | other, lambda v, a=want, b=inside: a(v) or b(v)
+        else:
+            selection, want = selection & other, lambda v, a=want, b=inside: a(v) and b(v)
+    if last is not None:
+        selection, want = selection.hints(last), lambda v, a=want: a(v) and v[0] in last
+    assert sorted(tuple(r)[:3] for r in selection.df().collect()) == sorted(v for v in rows if want(v))
+
+
+def test_numbered(grid):
+    got = sorted(grid.select(0, Bounds.le(60)).plus(1, 1500).numbered().collect(), key=lambda r: r.place)
+    box = lambda r: 0 if r.p0 <= 2 else 1
+    assert [r.place for r in got] == list(range(len(got))) and [r.d0 for r in got] == [r.d0 for r in sorted(got, key=lambda r: (box(r), r.p2, r.p1, r.p0, r.d0))]
+
+
 def test_errors_of_selections(grid):
     with pytest.raises(ValueError):
         grid.select(3, 1)

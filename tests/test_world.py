@@ -108,6 +108,61 @@ def test_session(spark, world):
     assert len(state(world)) == 2
 
 
+def test_session_ties_and_selections(spark, world):
+    world.insert(frame(spark, [(1, 10, "a"), (30, 60, "z")]))
+    s = Session(world)
+    s.insert(frame(spark, [(1, 12, "b"), (2, 80, "c")]))
+    assert sorted(r.v for r in s.select(1, 10).df().collect()) == ["b"]
+    assert sorted(r.v for r in (s.select(1, 60) | s.select(0, 1).hint(2)).df().collect()) == ["c", "z"]
+    with pytest.raises(NotImplementedError):
+        s.view().insert(frame(spark, [(9, 9, "z")]))
+    for both in ([(3, 3, "x"), (3, 4, "y")], [(1, 13, "x"), (1, 14, "y")]):
+        s = Session(world)
+        s.insert(frame(spark, both))
+        with pytest.raises(Conflict):
+            s.commit()
+    assert state(world) == [(1, 10, "a"), (30, 60, "z")]
+
+
+def test_one_chunk(spark, world):
+    chunk = world.at((0, 1))
+    with pytest.raises(OutOfRange):
+        chunk.insert(frame(spark, [(1, 60, "a"), (1, 10, "b")]))
+    with pytest.raises(OutOfRange):
+        world.at((4, 0))
+    assert state(world) == []
+    chunk.insert(frame(spark, [(1, 60, "a")]))
+    rejected = chunk.try_insert(frame(spark, [(1, 61, "b"), (2, 70, "c"), (2, 10, "d"), (500, 60, "e"), (None, 60, "f")]))
+    assert sorted(r.v for r in rejected.collect()) == ["b", "d", "e", "f"]
+    assert [r.v for r in chunk.rows().orderBy("d0").collect()] == ["a", "c"]
+    assert chunk.holds(frame(spark, [(24, 99, "")])) and not chunk.holds(frame(spark, [(24, 99, ""), (25, 99, "")]))
+
+
+def test_a_custom_back_end(spark):
+    """A storage that is asked for the chunks of a selection and gives no others."""
+    asked = []
+
+    class Rows:
+        pos_names = ["p0", "p1"]
+
+        def scan(self, shape=None):
+            asked.append(None if shape is None else list(shape.positions()))
+            return world.with_pos(frame(spark, [(i, i, str(i)) for i in range(100) if shape is None or (i // 25, i // 50) in asked[-1]]))
+
+    world = World(spark, [Dim(0, 99, 25), Dim(0, 99, 50)], ["d0", "d1"], Rows())
+    assert world.select(0, 30).and_(1, Bounds.lt(50)).df().count() == 25 and asked == [[(1, 0)]]
+    assert world.at((3, 1)).rows().count() == 25 and asked[-1] == [(3, 1)]
+
+
+def test_many_changes_keep_no_plans(spark, world):
+    world.insert(frame(spark, [(1, 10, "a")]))
+    held = len(vars(world))
+    for i in range(5):
+        world.insert(frame(spark, [(1, 10, str(i))]))
+    assert len(vars(world)) == held and not any(isinstance(x, list) and len(x) > 2 for x in vars(world).values())
+    assert [tuple(r) for r in world.writes().collect()] == [(0, 0, 6)]
+
+
 def test_results_survive_later_changes(spark, world):
     world.insert(frame(spark, [(1, 10, "a"), (2, 10, "b")]))
     old = world.insert(frame(spark, [(1, 11, "n")]))
