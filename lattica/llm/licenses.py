@@ -2,18 +2,22 @@
 
 A notice of n bytes may be matched with up to k errors (insertions, deletions, substitutions). Cut into k + 1
 pieces, at least one of them must occur unchanged (pigeonhole), so exact finds of the pieces locate candidate
-regions, and the regex library's bounded-error matching verifies each region and reports spans and errors.
-Texts are compared as their lower-cased words joined by one blank. The exact base phrases are counted apart
-and their labels always stay.
-
-Null and empty texts have no words and no labels. Repeated rows get equal results, each as a row. An empty
-table gives an empty result. Only the id and text columns are read.
+places, and the regex library's bounded-error matching verifies a window of the notice's own length around each
+and reports the best span and its errors. Matches that overlap compete: the fewest errors win, then the longest
+notice, so that a notice is not also read as its near relative. Texts are compared as their lower-cased words
+joined by one blank. The exact base phrases are counted apart and their labels always stay.
+
+The work grows in proportion to the text: each find of a piece costs one window, whatever lies around it. Null and
+empty texts have no words and no labels. Repeated rows get equal results, each as a row. An empty table gives an
+empty result. Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -28,12 +32,24 @@ NOTICES = (
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy", "mit"),
     ("licensed under the apache license version 2 0", "apache-2"),
+    ("you may not use this file except in compliance with the license", "apache-2"),
+    ("licensed under the gnu general public license", "gpl"),
     ("licensed under the gnu general public license version 3", "gpl-3"),
     ("licensed under the gnu general public license version 2", "gpl-2"),
+    ("gnu general public license as published by the free software foundation either version 3 of the license", "gpl-3"),
+    ("gnu general public license as published by the free software foundation either version 2 of the license", "gpl-2"),
     ("licensed under the gnu lesser general public license", "lgpl"),
+    ("gnu lesser general public license as published by the free software foundation either version", "lgpl"),
     ("licensed under the gnu affero general public license", "agpl"),
+    ("gnu affero general public license as published by the free software foundation either version", "agpl"),
     ("redistribution and use in source and binary forms with or without modification", "bsd"),
+    ("redistributions of source code must retain the above copyright notice", "bsd"),
+    ("neither the name of the copyright holder nor the names of its contributors", "bsd"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee", "isc"),
     ("subject to the terms of the mozilla public license", "mpl"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("to the extent possible under law the author has waived all copyright", "cc0"),
+    ("licensed under cc by 4 0", "cc-by"),
     ("licensed under cc by nc 4 0", "cc-by-nc"),
     ("licensed under cc by sa 4 0", "cc-by-sa"),
     ("creative commons attribution noncommercial", "cc-by-nc"),
@@ -53,31 +69,40 @@ class Notice:
         self.seeds = [(a, self.body[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
         self.pattern = regex.compile(rb"(?<= )(?:" + regex.escape(self.body, literal_spaces=True) + b"){e<=%d}(?= )" % self.errors, regex.BESTMATCH)
 
-    def found(self, norm: bytes) -> list[tuple[int, int, int]]:
-        """(start, end, errors) of the best match in each candidate region of a blank-framed text."""
-        reach, regions = len(self.body) + self.errors + 1, []
+    def places(self, norm: bytes) -> list[int]:
+        """Where the notice may start: each find of a piece, less the piece's place in the notice, sorted."""
+        out = []
         for offset, seed in self.seeds:
             at = norm.find(seed)
             while at >= 0:
-                regions.append((max(0, at - offset - self.errors - 1), min(len(norm), at - offset + reach)))
+                out.append(at - offset)
                 at = norm.find(seed, at + 1)
-        out, end = [], -1
-        for a, b in _merged(regions):
-            for m in self.pattern.finditer(norm, a, b):
-                if m.start() >= end:
-                    out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-                    end = m.end()
-        return out
+        return sorted(out)
 
-
-def _merged(regions: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(regions):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+    def found(self, norm: bytes) -> list[tuple[int, int, int]]:
+        """(start, end, errors) of the best match around each candidate place of a blank-framed text, each once."""
+        out: dict[tuple[int, int], int] = {}
+        first = last = None
+        for at in [*self.places(norm), None]:
+            if first is not None and (at is None or at > first + self.errors):
+                m = self.pattern.search(norm, max(0, first - self.errors - 1), last + len(self.body) + self.errors + 1)
+                if m:
+                    out[m.span()] = sum(m.fuzzy_counts)
+                first = None
+            first, last = (at if first is None else first), at
+        return [(a, b, e) for (a, b), e in out.items()]
+
+
+def settled(matches: list[tuple[int, int, int, int, str]]) -> list[tuple[int, int, int, int, str]]:
+    """Of (errors, -length, start, end, label), those that no better match overlaps."""
+    starts: list[int] = []
+    taken: list[tuple[int, int, int, int, str]] = []
+    for m in sorted(matches):
+        i = bisect_left(starts, m[2])
+        if (i == len(taken) or m[3] <= starts[i]) and (i == 0 or taken[i - 1][3] <= m[2]):
+            starts.insert(i, m[2])
+            taken.insert(i, m)
+    return taken
 
 
 @lru_cache(4)
@@ -91,14 +116,14 @@ def normal(text: str | None) -> tuple[bytes, int]:
     return b"".join([b" " + w for w in found] + [b" "]), len(found)
 
 
-def base_places(norm: bytes) -> list[tuple[int, str]]:
-    """(word, label) of each place of a base phrase."""
+def base_places(norm: bytes, blanks: np.ndarray) -> list[tuple[int, str]]:
+    """(word, label) of each place of a base phrase; ``blanks``: the places of all blanks."""
     out = []
     for phrase, label in BASE:
         framed = b" " + phrase.encode() + b" "
         at = norm.find(framed)
         while at >= 0:
-            out.append((norm.count(b" ", 0, at), label))
+            out.append((int(np.searchsorted(blanks, at)), label))
             at = norm.find(framed, at + 1)
     return sorted(out)
 
@@ -110,13 +135,11 @@ _SPANS = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int32()),
 def scan(text: str | None, notices: list[Notice]) -> tuple:
     """The values of ADDED for one text. The score is that of the best match: 1 - errors / length."""
     norm, n = normal(text)
-    base = base_places(norm)
-    spans, score = [], 1.0 if base else 0.0
-    for notice in notices:
-        for s, e, errors in notice.found(norm):
-            spans.append((norm.count(b" ", 0, s) - 1, norm.count(b" ", 0, e) - 1, notice.label, errors))
-            score = max(score, 1 - errors / len(notice.body))
-    spans.sort()
+    blanks = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
+    base = base_places(norm, blanks)
+    won = settled([(e, -len(notice.body), a, b, notice.label) for notice in notices for a, b, e in notice.found(norm)])
+    score = max([1.0 if base else 0.0, *(1 + e / size for e, size, *_ in won)])
+    spans = [(int(np.searchsorted(blanks, a)) - 1, int(np.searchsorted(blanks, b)) - 1, label, e) for e, _, a, b, label in won]
     labels = {label for _, label in base}
     return (
         n, len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted(labels)),

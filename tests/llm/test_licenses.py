@@ -1,6 +1,5 @@
 import re
-
-import regex
+import time
 
 from lattica.llm import licenses
 
@@ -11,27 +10,51 @@ def ascii_lower(t):
     return re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")
 
 
+def distance(a, b, most):
+    """Levenshtein distance, or more than ``most``."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, before[j] + 1, before[j - 1] + (x != y)))
+        if min(row) > most:
+            return most + 1
+    return row[-1]
+
+
 def brute(text):
+    """All word ranges against all notices by edit distance; of overlapping ones the best stays."""
     ws = re.findall(WORD, ascii_lower(text))
     places = []
     for phrase, label in licenses.BASE:
         p = phrase.split()
         places += [(i, label) for i in range(len(ws)) if ws[i : i + len(p)] == p]
+    found = []
+    for body, label in licenses.NOTICES:
+        most, known, n = min(4, len(body.encode()) // 9), set(body.split()), len(body.split())
+        for i in range(len(ws)):
+            near = ws[max(0, i - 4) : i + n + 4]
+            if sum(w in known for w in near) * 3 < n:  # with at most four errors, more words than that are whole
+                continue
+            for j in range(i + max(1, n - most), min(len(ws), i + n + most) + 1):
+                e = distance(body.encode(), " ".join(ws[i:j]).encode(), most)
+                if e <= most:
+                    found.append((e, -len(body), i, j, label))
+    won = []
+    for m in sorted(found):
+        if all(m[3] <= o[2] or m[2] >= o[3] for o in won):
+            won.append(m)
     labels = {x for _, x in places}
-    fuzzy = {}
-    norm = (" " + " ".join(ws) + " ").encode()
-    for n in map(lambda x: licenses.Notice(*x), licenses.NOTICES):
-        m = regex.search(rb"(?<= )(?:" + regex.escape(n.body, literal_spaces=True) + b"){e<=%d}(?= )" % n.errors, norm)
-        if m:
-            fuzzy[n.label] = True
     starts = [i for i, _ in places]
-    return len(ws), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | set(fuzzy)))
+    return len(ws), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {m[4] for m in won}))
 
 
 TEXTS = [
     None, "", "Released under the MIT License. É MIT", "Relesed undr the MIT Licence.", "licensed under the GNU General Public Licence, version 3",
     "Apache License, Version 2.0 and apache-license version-2", "CC BY-NC 4.0 xcc by nc", "cc by nc", "under the mit licenses", "Licensed under CC-BY NC 4.0",
     "permission is hereby granted, free of charge, to any persn obtaining copy " * 3, "k" * 5000,
+    "licensd under the gnu genral public license version 3 licensed under the gnu general public license version 3",
+    "Licensed under the GNU General Public License, version 2 and later under cc by-sa 4.0 or licensed under cc by 4.0",
 ]
 
 
@@ -50,6 +73,33 @@ def test_table(spark):
     check(spark, docs, {r.doc_id: r.text for r in docs.collect()})
 
 
+def test_one_label_each():
+    own = licenses._notices(licenses.NOTICES)
+    for text, label in {
+        "Licensed under the GNU General Public License, version 3": "gpl-3", "Licensed under the GNU General Public License, version 2": "gpl-2",
+        "Licensed under CC BY-SA 4.0": "cc-by-sa", "Licensed under CC BY-NC 4.0": "cc-by-nc", "Licensed under the GNU General Public License": "gpl",
+        "licensed under the GNU Lesser General Public License": "lgpl", "Licenced under teh GNU Affero General Public License": "agpl",
+        "GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1": "lgpl",
+    }.items():
+        assert licenses.scan(text, own)[5] == label, text
+    twice = licenses.scan("licensd under the gnu genral public license version 3 licensed under the gnu general public license version 3", own)
+    assert [(x["first_word"], x["errors"]) for x in twice[7]] == [(0, 2), (9, 0)]
+
+
+def test_time_grows_with_the_text():
+    own = licenses._notices(licenses.NOTICES)
+
+    def seconds(n):
+        text = "licensed under cc by nc 4.0 " * n
+        began = time.process_time()
+        row = licenses.scan(text, own)
+        assert row[1] == n and len(row[7]) == n
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(8000) < 3 * seconds(4000)
+
+
 def test_spans_and_edges(spark):
     row = licenses.scan("Note. Relesed undr the MIT Licence.", licenses._notices(licenses.NOTICES))
     assert row[5] == "mit" and row[7] == [{"label": "mit", "first_word": 1, "last_word": 5, "errors": 3}]
