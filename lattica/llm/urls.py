@@ -1,17 +1,22 @@
 """URL filters: fixed host and path rules, and association rules mined from labelled pages.
 
-Spark's FP-growth mines sets of URL tokens that occur often among labelled pages; sets that imply a bad label
-with enough support and confidence become rules, and a rule that contains another is dropped. Rules are matched
-by an inverted index: each is filed under its rarest token, a page looks up its own tokens, and a filed rule
-matches if the page has all its tokens. A fixed rule, where one fits, decides before them.
-
-A null url, or one without ``://``, has no host, path, rule or tokens and is allowed. Repeated rows get equal
-results, each as a row. Pages without a label are judged like others. Empty tables work: without labels there
-are no mined rules.
+Tokens that occur on the same labelled pages say the same, so they are merged into one item before mining: a deep
+path that many pages share is one item and not all subsets of its segments. Spark's FP-growth then mines sets of
+items that occur often among labelled pages; sets that imply a bad label with enough support and confidence become
+rules, and a rule that contains another is dropped. A page has an item if it has one of its tokens. Rules are
+matched by an inverted index: each is filed under the tokens of its rarest item, a page looks up its own tokens,
+and a filed rule matches if the page has all its items. A fixed rule, where one fits, decides before them.
+
+Path prefixes with different page counts are different items; a chain of d of them, each frequent enough, costs
+FP-growth up to 2**d sets. A null url, or one without ``://``, has no host, path, rule or tokens and is allowed.
+Repeated rows get equal results, each as a row. Pages without a label are judged like others. Empty tables work:
+without labels there are no mined rules.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,34 +67,51 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(part("host=", labels), part("top=", last), part("path=", segments), part("query=", keys)))
 
 
+RULE = "items array<array<string>>, anchor array<string>, confidence double, pages long"
+
+
+def merged(labelled: DataFrame, least: int) -> DataFrame:
+    """item, tokens, pages: the tokens of ``least`` labelled pages or more, those of the same pages together."""
+    spread = labelled.select("row", F.explode(F.array_distinct("tokens")).alias("token"))
+    page_set = spread.groupBy("token").agg(F.count(F.lit(1)).alias("pages"), F.bit_xor(F.xxhash64("row")).alias("a"), F.bit_xor(F.xxhash64(F.lit(7), "row")).alias("b"))
+    return page_set.where(F.col("pages") >= least).groupBy("pages", "a", "b").agg(F.min("token").alias("item"), F.array_sort(F.collect_list("token")).alias("tokens")).select("item", "tokens", "pages")
+
+
 def mined(labelled: DataFrame, support: float = LEAST_SUPPORT, pages: int = LEAST_PAGES, confidence: float = LEAST_CONFIDENCE) -> DataFrame:
-    """Rules (tokens, anchor, confidence, pages) from rows of tokens and bad. The anchor is the rarest token."""
+    """RULE rows from rows of tokens and bad: ``items`` are sets of interchangeable tokens, of which the anchor is
+    the rarest."""
     spark = labelled.sparkSession
+    labelled = stored(labelled.select("tokens", "bad", F.monotonically_increasing_id().alias("row")), "url-rows")  # ids fixed by being written
     n = labelled.count()
-    empty = spark.createDataFrame([], "tokens array<string>, anchor string, confidence double, pages long")
     if not n:
-        return empty
-    items = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, pages / n)), minConfidence=confidence).fit(items)
+        return spark.createDataFrame([], RULE)
+    least = min(1.0, max(support, pages / n))
+    items = stored(merged(labelled, ceil(least * n - 1e-9)), "url-items")
+    own = labelled.select("row", F.explode(F.array_distinct("tokens")).alias("item")).join(items.select("item"), "item").groupBy("row").agg(F.collect_list("item").alias("found"))
+    baskets = labelled.join(own, "row", "left").select(F.coalesce("found", F.array().cast("array<string>")).alias("found"), "bad")
+    baskets = baskets.select(F.when(F.col("bad"), F.array_append("found", F.lit(BAD))).otherwise(F.col("found")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=confidence).fit(baskets)
     found = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
-    rules = stored(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", F.round(F.col("support") * n).cast("long").alias("pages")), "url-rules")
-    # the rarest token of a rule; its count is that of the single frequent item, which every rule's token is
-    single = model.freqItemsets.where("size(items) = 1").select(F.col("items")[0].alias("t"), "freq")
-    rarest = rules.select("tokens", F.explode("tokens").alias("t")).join(single, "t").groupBy("tokens").agg(F.min(F.struct("freq", "t"))["t"].alias("anchor"))
-    anchored = stored(rules.join(rarest, "tokens"), "url-anchored")
+    rules = stored(found.select(F.array_sort("antecedent").alias("rule"), "confidence", F.round(F.col("support") * n).cast("long").alias("pages")), "url-rules")
     # a rule that contains another says nothing new
-    larger = anchored.select(F.col("tokens").alias("own"), F.explode("tokens").alias("anchor")).join(anchored.select("tokens", "anchor"), "anchor")
-    implied = larger.where((F.size("tokens") < F.size("own")) & (F.size(F.array_except("tokens", "own")) == 0)).select(F.col("own").alias("tokens")).distinct()
-    return stored(anchored.join(implied, "tokens", "left_anti").select("tokens", "anchor", "confidence", "pages"), "url-index")
+    rarest = F.array_min("found")["item"]
+    ranked = rules.select("rule", F.explode("rule").alias("item")).join(items.select("item", F.col("pages").alias("often")), "item").groupBy("rule").agg(F.collect_list(F.struct("often", "item")).alias("found"))
+    anchored = stored(rules.join(ranked.select("rule", rarest.alias("anchor")), "rule"), "url-anchored")
+    larger = anchored.select(F.col("rule").alias("own"), F.explode("rule").alias("anchor")).join(anchored.select("rule", "anchor"), "anchor")
+    implied = larger.where((F.size("rule") < F.size("own")) & (F.size(F.array_except("rule", "own")) == 0)).select(F.col("own").alias("rule")).distinct()
+    least_rules = anchored.join(implied, "rule", "left_anti")
+    listed = least_rules.select("rule", F.explode("rule").alias("item")).join(items.select("item", "tokens"), "item").groupBy("rule").agg(F.array_sort(F.collect_list("tokens")).alias("items"))
+    anchors = items.select(F.col("item").alias("anchor"), F.col("tokens").alias("_tokens"))
+    return stored(least_rules.join(listed, "rule").join(anchors, "anchor").select("items", F.col("_tokens").alias("anchor"), "confidence", "pages"), "url-index")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """The distinct urls that some rule matches, with the number of rules."""
     few = rules.count() <= BROADCAST_RULES
-    index = rules.select("anchor", F.col("tokens").alias("rule"))
-    looked_up = urls.select("url", tokens(F.col("url")).alias("own")).select("url", "own", F.explode("own").alias("anchor"))
-    hits = looked_up.join(F.broadcast(index) if few else index, "anchor").where(F.size(F.array_except("rule", "own")) == 0)
-    return hits.groupBy("url").agg(F.count(F.lit(1)).alias("mined_rules"))
+    index = rules.select(F.xxhash64("items").alias("rule"), "items", F.explode("anchor").alias("token"))
+    looked_up = urls.select("url", tokens(F.col("url")).alias("own")).select("url", "own", F.explode("own").alias("token"))
+    hits = looked_up.join(F.broadcast(index) if few else index, "token").where(F.forall("items", lambda x: F.arrays_overlap(x, F.col("own"))))
+    return hits.groupBy("url").agg(F.count_distinct("rule").alias("mined_rules"))  # a url can have several tokens of an anchor
 
 
 def judged(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", url: str = "url") -> DataFrame:

