@@ -2,12 +2,12 @@
 
 Base spans come from the fixed patterns and always stay. Besides them, wider candidate patterns propose
 spans; a format, a gazetteer, a context and a border labeler vote on every candidate or abstain,
-expectation-maximisation estimates their reliabilities from the counts of vote patterns over all documents,
-and a logistic classifier of the span's own features, trained on the resulting probabilities, decides which
-candidates are added. Only counts by (kind, votes, features) reach the driver: at most
+expectation-maximisation estimates their reliabilities, for each kind of its own, from the counts of vote patterns
+over all documents, and a logistic classifier of the span's own features, trained on the resulting probabilities, decides which
+candidates are added. Context words count only as whole words. Only counts by (kind, votes, features) reach the driver: at most
 kinds * 3**4 * 2**8 rows, whatever the number of documents.
 
-Null and empty texts have no spans. Repeated rows get equal results, each as a row. An empty table gives an
+The work grows in proportion to the text, but for a logarithm in the checks of overlaps. Null and empty texts have no spans. Repeated rows get equal results, each as a row. An empty table gives an
 empty result. Only the id and text columns are read.
 """
 
@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -50,14 +52,21 @@ COUNTRY_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39",
 ISSUERS = ("4", "34", "37", "51", "52", "53", "54", "55", "6011", "65")
 SECRET_HEADS = ("sk-", "sk_", "ghp_", "gho_", "AKIA", "xox", "eyJ")
 CONTEXT = {
-    "email": ("mail", "contact", "write to", "reach"),
-    "ip": ("ip", "host", "server", "address", "login"),
-    "card": ("card", "visa", "mastercard", "payment", "credit"),
-    "phone": ("phone", "tel", "call", "fax", "mobile"),
-    "secret": ("token", "secret", "key", "password", "passwd", "credential"),
-    "id": ("ssn", "social security", "passport", "identity", "id"),
+    "email": ("mail", "email", "e-mail", "mailto", "contact", "write to", "reach"),
+    "ip": ("ip", "ips", "host", "hosts", "server", "servers", "address", "addresses", "login", "logins"),
+    "card": ("card", "cards", "visa", "mastercard", "payment", "payments", "credit"),
+    "phone": ("phone", "phones", "telephone", "tel", "call", "calls", "fax", "mobile", "cell"),
+    "secret": ("token", "tokens", "secret", "secrets", "key", "keys", "apikey", "password", "passwords", "passwd", "credential", "credentials"),
+    "id": ("ssn", "social security", "passport", "identity", "id", "ids"),
 }
-AGAINST = ("version", "isbn", "doi", "sha1", "sha256", "md5", "checksum", "commit", "http", "figure", "page", "order no")
+AGAINST = ("version", "isbn", "doi", "sha1", "sha256", "md5", "checksum", "commit", "http", "https", "figure", "page", "pages", "order no")
+
+
+def _any_word(words: tuple[str, ...]) -> re.Pattern:
+    return re.compile(rf"(?<![a-z0-9])(?:{'|'.join(map(re.escape, words))})(?![a-z0-9])")
+
+
+_AGAINST, _CONTEXT = _any_word(AGAINST), {k: _any_word(v) for k, v in CONTEXT.items()}
 
 
 def luhn(digits: str) -> bool:
@@ -101,7 +110,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _before(text: str, start: int) -> str:
-    return text[max(0, start - 30) : start].lower()
+    """The thirty characters before, without the rest of a word that they cut."""
+    at = max(0, start - 30)
+    while 0 < at < start and text[at].isalnum() and text[at - 1].isalnum():
+        at += 1
+    return text[at:start].lower()
+
+
+class Covered:
+    """Whether a span overlaps one of some spans (start, end), sorted by start."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.reach = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
+
+    def __call__(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end)
+        return i > 0 and self.reach[i - 1] > start
 
 
 def votes(kind: str, body: str, before: str, border: bool) -> tuple[int, int, int, int]:
@@ -125,7 +149,7 @@ def votes(kind: str, body: str, before: str, border: bool) -> tuple[int, int, in
         gaz = 1 if body.startswith(SECRET_HEADS) else 0
     else:
         form, gaz = (-1 if body[:3] in ("000", "666") or body[0] == "9" else 1), 0
-    said = 1 if any(x in before for x in CONTEXT[kind]) else -1 if any(x in before for x in AGAINST) else 0
+    said = 1 if _CONTEXT[kind].search(before) else -1 if _AGAINST.search(before) else 0
     return form, gaz, said, (1 if border else -1)
 
 
@@ -134,20 +158,20 @@ def features(kind: str, body: str, before: str, border: bool) -> int:
     digits = sum(map(str.isdigit, body))
     flags = (
         digits * 4 >= len(body), digits * 2 >= len(body), len(body) >= 20, len(body) >= 30,
-        bool(re.search(r"[=:][\s\"']*$", before)), before.endswith(('"', "'")), any(x in before for x in CONTEXT[kind]), border,
+        bool(re.search(r"[=:][\s\"']*$", before)), before.endswith(('"', "'")), bool(_CONTEXT[kind].search(before)), border,
     )
     return sum(1 << i for i, f in enumerate(flags) if f)
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool, int, int]]:
     """(start, kind, end, base, votes, features) of the base spans and of the wider ones beside them."""
-    found = [(s, k, e, True) for s, k, e in base]
+    found, taken = [(s, k, e, True) for s, k, e in base], Covered([(s, e) for s, _, e in base])
     for name, pattern in LOOSE:
         for m in pattern.finditer(text):
             s, e = m.span()
             if name == "secret" and not (re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])):
                 continue
-            if all(e <= bs or s >= be for bs, _, be in base):
+            if not taken(s, e):
                 found.append((s, KINDS.index(name), e, False))
     out = []
     for s, k, e, own in sorted(found):
@@ -180,11 +204,15 @@ def _measure(column: pa.Array) -> list[pa.Array]:
 
 
 def reliabilities(patterns: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Labelers' reliabilities and the classifier's weights from (kind, votes, features, count) rows."""
+    """Labelers' reliabilities, a row for each kind, and the classifier's weights from (kind, votes, features, count)
+    rows."""
     rows = np.array(patterns or [(0, weak.encode(np.zeros((1, LABELERS), int))[0], 0, 0)], np.int64)
-    cast = weak.decode(rows[:, 1], LABELERS)
-    accuracy = weak.fit(cast, rows[:, 3])
-    target, count = weak.posterior(cast, accuracy), rows[:, 3].astype(float)
+    cast, accuracy, target = weak.decode(rows[:, 1], LABELERS), np.full((len(KINDS), LABELERS), weak.START), np.zeros(len(rows))
+    for kind in np.unique(rows[:, 0]):
+        own = rows[:, 0] == kind
+        accuracy[kind] = weak.fit(cast[own], rows[own, 3])
+        target[own] = weak.posterior(cast[own], accuracy[kind])
+    count = rows[:, 3].astype(float)
     x = design(rows[:, 0], rows[:, 2])
     w = np.zeros(x.shape[1])
     for _ in range(50):  # Newton's method; the penalty of 1 keeps it stable on separable data
@@ -200,8 +228,21 @@ def design(kind: np.ndarray, feature_bits: np.ndarray) -> np.ndarray:
     return np.hstack([np.eye(len(KINDS))[kind], (feature_bits[:, None] >> np.arange(FEATURES)) & 1])
 
 
+def accepted(found: list[dict], weights: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the base spans and of the candidates that the classifier adds, leftmost first."""
+    own, loose = [(x["s"], x["k"], x["e"]) for x in found if x["own"]], [x for x in found if not x["own"]]
+    if loose:
+        base, end = Covered([(s, e) for s, _, e in own]), -1
+        score = design(np.array([x["k"] for x in loose]), np.array([x["features"] for x in loose])) @ weights
+        for x, z in zip(loose, score, strict=True):  # sorted by start
+            if 1 / (1 + np.exp(-z)) >= ADD_AT and x["s"] >= end and not base(x["s"], x["e"]):
+                own.append((x["s"], x["k"], x["e"]))
+                end = x["e"]
+    return own
+
+
 def personal_data(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, counts by base kind, base_sha256 and ``spans``: all as kind:start:end, in code points."""
+    """id, counts by base kind, base_sha256, ``spans`` (all as kind:start:end, in code points) and n_spans."""
     measured = stored(with_columns(docs, text, _measure, f"n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, candidates {CANDIDATE}", [id_column]), "pii")
     c = F.col("c")
     counted = measured.select(F.explode("candidates").alias("c")).groupBy(c.k.alias("k"), c.votes.alias("v"), c.features.alias("f")).count()
@@ -209,19 +250,11 @@ def personal_data(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for cell in batch.column(6).to_pylist():
-                taken = [(x["s"], x["k"], x["e"]) for x in cell if x["own"]]
-                loose = [x for x in cell if not x["own"]]
-                if loose:
-                    score = design(np.array([x["k"] for x in loose]), np.array([x["features"] for x in loose])) @ weights
-                    for x, z in zip(loose, score, strict=True):
-                        if 1 / (1 + np.exp(-z)) >= ADD_AT and all(x["e"] <= s or x["s"] >= e for s, _, e in taken):
-                            taken.append((x["s"], x["k"], x["e"]))
-                out.append(joined(taken))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(out, pa.string())], names=[*batch.schema.names[:6], "spans"])
-
-    return map_arrow(measured, settle, T.StructType([*measured.schema.fields[:6], T.StructField("spans", T.StringType())]))
+            out = [accepted(cell, weights) for cell in batch.column(6).to_pylist()]
+            more = [pa.array([joined(x) for x in out], pa.string()), pa.array([len(x) for x in out], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], *more], names=[*batch.schema.names[:6], "spans", "n_spans"])
+
+    return map_arrow(measured, settle, T.StructType([*measured.schema.fields[:6], T.StructField("spans", T.StringType()), T.StructField("n_spans", T.LongType())]))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Bounds of a labeler's accuracy, and the belief it starts from with the weight of so many votes.
-LEAST, MOST, START, START_VOTES = 0.55, 0.995, 0.85, 20.0
+#: Bounds of a labeler's accuracy (at one half it says nothing), and the belief it starts from with the weight of so
+#: many votes.
+LEAST, MOST, START, START_VOTES = 0.5, 0.995, 0.85, 20.0
 
 
 def encode(votes: np.ndarray) -> np.ndarray:

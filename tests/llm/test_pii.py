@@ -1,5 +1,7 @@
 import hashlib
 import re
+import time
+from collections import Counter
 
 from lattica.llm import pii
 
@@ -57,6 +59,46 @@ def test_table_and_held_out_secrets(spark):
         assert planted == added
 
 
+def test_added_spans_against_brute_force(spark):
+    """The same counts and classifier, but every candidate compared with every span."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts, found, seen = {r.doc_id: r.text or "" for r in docs.collect()}, {}, Counter()
+    for i, t in texts.items():
+        base = pii.base_spans(t)
+        found[i] = pii.candidates(t, base)
+        seen.update((k, v, f) for _, k, _, _, v, f in found[i])
+        loose = [(m.start(), m.end()) for _, p in pii.LOOSE for m in p.finditer(t) if all(m.end() <= s or m.start() >= e for s, _, e in base)]
+        assert {(s, e) for s, _, e, own, _, _ in found[i] if not own} <= set(loose)
+    accuracy, weights = pii.reliabilities([(*k, n) for k, n in seen.items()])
+    assert accuracy.shape == (6, 4) and (accuracy >= 0.5).all()
+    for r in pii.personal_data(docs).collect():
+        taken = [(s, k, e) for s, k, e, own, _, _ in found[r.doc_id] if own]
+        for s, k, e, own, _, bits in found[r.doc_id]:
+            z = weights[k] + sum(weights[len(pii.KINDS) + i] for i in range(pii.FEATURES) if bits >> i & 1)
+            if not own and z >= 0 and all(e <= a or s >= b for a, _, b in taken):
+                taken.append((s, k, e))
+        assert r.spans == pii.joined(taken) and r.n_spans == len(taken)
+
+
+def test_context_is_whole_words():
+    assert pii.votes("ip", "1.2.3.4", "the server ", True)[2] == 1 and pii.votes("ip", "1.2.3.4", "the ship ", True)[2] == 0
+    assert pii.votes("id", "123-45-6789", "he did ", True)[2] == 0 and pii.votes("phone", "+12", "hotel ", True)[2] == 0
+    assert pii.votes("id", "123-45-6789", "social security: ", True)[2] == 1
+    text = "x" * 20 + "id " + "y" * 27
+    assert pii._before(text + "123-45-6789", len(text)) == " " + "y" * 27  # "id" is the end of a cut word
+
+
+def test_time_grows_with_the_text():
+    def seconds(n):
+        text = "mail a@b.co or b [at] c.org, 10.0.0.1 +49 30 1234567, (499) 555-6503 " * n
+        began = time.process_time()
+        assert len(pii.candidates(text, pii.base_spans(text))) == 5 * n
+        return time.process_time() - began
+
+    seconds(50)
+    assert seconds(4000) < 3 * seconds(2000)
+
+
 def test_empty_and_repeated(spark):
     assert pii.personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = pii.personal_data(spark.createDataFrame([(1, "a@b.co", "k"), (1, "a@b.co", "k"), (None, None, None)], "doc_id long, text string, spans string")).collect()
