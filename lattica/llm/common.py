@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.scratch import kept as stored
 from ..functions.scratch import session_dir
 
-__all__ = ["arrow_flag", "map_arrow", "session_dir", "stored", "table", "with_columns"]
+__all__ = ["BLOOM", "arrow_flag", "map_arrow", "session_dir", "settings", "stored", "table", "with_columns"]
 
 #: Rows and bytes of one Arrow batch: memory is bounded by texts and not by row counts.
 BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
@@ -30,6 +31,23 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+#: Lets the optimiser keep rows out of a shuffle by a Bloom filter, of a bounded size, of the other side's keys.
+BLOOM = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g"}
+
+
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Session settings for the plans that run within the block."""
+    before = {c: spark.conf.get(c, None) for c in conf}
+    for c, v in conf.items():
+        spark.conf.set(c, v)
+    try:
+        yield
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v) if v is not None else spark.conf.unset(c)
+
+
 def release() -> None:
     """Gives freed memory back to the system: Python workers live on between tasks."""
     pa.default_memory_pool().release_unused()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stored, table, with_columns
+from .common import BLOOM, map_arrow, settings, stored, table, with_columns
 from .textcore import BLANK_WORDS, hash_ranges, hash_windows, mix, text_slices, words
 
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 4
@@ -229,10 +229,6 @@ def _banded(docs: DataFrame, id_column: str, text: str, common: tuple[np.ndarray
 def _vectors(docs: DataFrame, text: str, wanted: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """k, ids and weights, as bytes, of the wanted texts. The optimiser's runtime Bloom filter, of a bounded
     size, keeps most other texts out of the shuffle; the join is exact with or without it."""
-    spark = docs.sparkSession
-    conf = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g"}
-    before = {c: spark.conf.get(c, None) for c in conf}
-
     def measure(column: pa.Array) -> list:
         ids_out, weights_out = [], []
         for i, j, data, off in _slices(column):
@@ -248,15 +244,10 @@ def _vectors(docs: DataFrame, text: str, wanted: DataFrame, common: tuple[np.nda
             weights_out += [w[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
         return [pa.array(ids_out, pa.binary()), pa.array(weights_out, pa.binary())]
 
-    for c, v in conf.items():
-        spark.conf.set(c, v)
-    try:
+    with settings(docs.sparkSession, BLOOM):
         keyed = docs.select(docs[text].alias("text"), key_of(docs[text]).alias("k")).dropDuplicates(["k"])
         texts = keyed.join(wanted.where("met > 1"), "k").select("k", "text")
         return stored(with_columns(texts, "text", measure, "ids binary, weights binary", ["k"]), "neardup-vectors")
-    finally:
-        for c, v in before.items():
-            spark.conf.set(c, v) if v is not None else spark.conf.unset(c)
 
 
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:

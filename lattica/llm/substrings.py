@@ -2,11 +2,17 @@
 
 Repeated windows of ``WINDOW`` words are found without shuffling every window. The least hash of a window's
 ``GRAM``-word pieces depends on its words alone, so equal windows have equal least pieces; consecutive windows
-that share one form a *stretch*, fingerprinted by the piece (``anchor``) and by all its words (``whole``).
-The index holds one row for each distinct fingerprint with its count, in sorted immutable runs, one run a
-batch; runs of a level are merged into one run of the next level once there are ``FANOUT`` of them. A batch is
-merge-joined with the runs: a stretch that occurs twice is repeated as a whole; one whose anchor occurs only in
-other stretches is verified window by window with 128-bit hashes; the rest is unique.
+that share one form a *stretch*, fingerprinted by the piece (``anchor``) and by 128 bits of the SHA-256 of all its
+words (``whole``). The index holds one row for each distinct fingerprint with its count and one text that has it,
+in immutable runs that are bucketed by anchor and sorted; a manifest names the runs, so that a later job can open
+the index again. Every batch becomes a run; two runs of a level are merge-joined, bucket by bucket and without a
+shuffle, into one of the next level.
+
+A batch is looked up by its anchors: a stretch that occurs twice is repeated as a whole; one whose anchor occurs
+only in other stretches is a candidate, whose windows are verified one by one by the SHA-256 of their words
+(128 bits of it) against those of the other stretches, of which history's come from the index's own copy of the
+texts; the rest is unique. ``deduplicated`` judges a whole table, every copy of a window included;
+``deduplicate_batch`` judges a new batch against history and itself, and adds it.
 
 Exact copies are collapsed first (128-bit hash of the text), so that a large group is one content with a
 multiplicity; counts are summed before each shuffle, and joins on hot fingerprints are split by the adaptive
@@ -19,18 +25,26 @@ equal ids do not matter: rows are told apart by their text alone. An empty table
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, session_dir, stored, table, with_columns
+from ..functions.scratch import delete_path, exists
+from .common import BLOOM, map_arrow, session_dir, settings, stored, table, with_columns
 from .textcore import BLANK_WORDS, covered, hash_ranges, hash_windows, text_slices, window_starts, words
 
-WINDOW, GRAM, FANOUT, BATCHES = 35, 8, 3, 3
+WINDOW, GRAM, FANOUT, BATCHES = 35, 8, 2, 3
+#: Joins of runs read their buckets side by side, in their stored order.
+BUCKETED = {
+    "spark.sql.sources.bucketing.enabled": "true", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+}
 
 
 def least_pieces(word_hash: np.ndarray, start: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,6 +78,15 @@ def stretches(data: np.ndarray, off: np.ndarray, window: int, gram: int) -> tupl
     return w, h, start, row, at, least[at]
 
 
+def spelled(raw: bytes, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """128 bits of the SHA-256 of words start[i] .. end[i] - 1 of ``raw``, joined by one blank."""
+    body = raw.split()
+    ends = np.cumsum([len(w) + 1 for w in body])
+    begins, line = np.append(0, ends), b" ".join(body)
+    sha = hashlib.sha256
+    return [sha(line[a:b]).digest()[:16] for a, b in zip(begins[start].tolist(), (begins[end] - 1).tolist(), strict=True)]
+
+
 def key_columns(text: Column) -> dict[str, Column]:
     """128 bits that stand for a text."""
     body = F.coalesce(text, F.lit(""))
@@ -79,19 +102,24 @@ def _contents(docs: DataFrame, text: str, window: int, gram: int) -> DataFrame:
         for _, _, data, off in text_slices(column):
             w, h, start, row, at, anchor = stretches(data, off, window, gram)
             ends = np.append(at[1:], len(start)) - 1
-            whole = hash_windows(h, start[at], start[ends] + window, second=True) if len(at) else anchor
+            cut = np.searchsorted(row[at], np.arange(len(off)))
+            first, last = start[at] - w.first[row[at]], start[ends] + window - w.first[row[at]]
             n_words.append(np.diff(w.first))
             sizes.append(np.bincount(row[at], minlength=len(off) - 1))
-            anchors.append(anchor.view(np.int64)), wholes.append(whole.view(np.int64)), firsts.append((start[at] - w.first[row[at]]).astype(np.int32))
+            anchors.append(anchor.view(np.int64)), firsts.append(first.astype(np.int32))
             raw = data.tobytes()
-            digest += [hashlib.sha256(b" ".join(raw[a:b].split())).digest() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            for r, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+                digest.append(hashlib.sha256(b" ".join(raw[a:b].split())).digest())
+                if cut[r] < cut[r + 1]:
+                    wholes += spelled(raw[a:b], first[cut[r] : cut[r + 1]], last[cut[r] : cut[r + 1]])
         cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         cuts = pa.array(np.concatenate(([0], np.cumsum(cat(sizes, np.int64)))), pa.int32())
-        lists = [pa.ListArray.from_arrays(cuts, pa.array(cat(x, k))) for x, k in ((anchors, np.int64), (wholes, np.int64), (firsts, np.int32))]
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(cat(x, k))) for x, k in ((anchors, np.int64), (firsts, np.int32))]
+        lists.insert(1, pa.ListArray.from_arrays(cuts, pa.array(wholes, pa.binary())))
         return [cat(n_words, np.int64), pa.array(digest, pa.binary()), *lists]
 
     keyed = docs.select(F.coalesce(docs[text], F.lit("")).alias("text")).withColumns(key_columns(F.col("text")))
-    rows = with_columns(keyed, "text", measure, "n_words long, digest binary, anchors array<long>, wholes array<long>, firsts array<int>", ["k1", "k2"])
+    rows = with_columns(keyed, "text", measure, "n_words long, digest binary, anchors array<long>, wholes array<binary>, firsts array<int>", ["k1", "k2"])
     one = F.first(F.struct("n_words", "digest", "anchors", "wholes", "firsts")).alias("one")
     return stored(rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("m"), one).select("k1", "k2", "m", "one.*"), "substring-contents")
 
@@ -103,113 +131,161 @@ def _occurrences(contents: DataFrame) -> DataFrame:
     return contents.select("k1", "k2", "m", F.inline(zipped)).toDF("k1", "k2", "m", "anchor", "whole", "first", "last")
 
 
+def _counted(contents: DataFrame) -> DataFrame:
+    """A row for each fingerprint of the contents: n occurrences, and the key of one text that has it."""
+    rows = _occurrences(contents).groupBy("anchor", "whole").agg(F.sum("m").alias("n"), F.min(F.struct("k1", "k2")).alias("k"))
+    return rows.select("anchor", "whole", "n", "k.*")
+
+
 class FingerprintIndex:
-    """Sorted immutable runs of fingerprints (anchor, whole, n, k): n occurrences so far, k one text's key.
+    """Runs of fingerprints (anchor, whole, n, k1, k2) and the texts they came from, under ``path``.
 
-    Runs are folders of Parquet files, dealt by anchor and sorted within each file. A run is never changed: a
-    merge writes a new one and only then are its inputs forgotten, so a lost executor or a failed merge costs a
-    rerun and no data.
+    A run is a folder of Parquet files, bucketed by anchor and sorted, and is never changed: a merge writes a new
+    one, a new manifest then names it, and only then its inputs are deleted. A lost executor or a failed merge so
+    costs a rerun and no data. Opening a path with a manifest goes on where the last job ended. One writer at a time.
     """
 
+    SCHEMA, ROW = "anchor BIGINT, whole BINARY, n BIGINT, k1 BIGINT, k2 BIGINT", ["anchor", "whole", "n", "k1", "k2"]
+
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
-        self.path = path or f"{session_dir(spark)}/index-{uuid.uuid4().hex}"
+        self.path = (path or f"{session_dir(spark)}/index-{uuid.uuid4().hex}").rstrip("/")
+        self.version, self.buckets = 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
-
-    SCHEMA = "anchor long, whole long, n long, k long"
-
-    def _write(self, rows: DataFrame, level: int) -> str:
-        path = f"{self.path}/level{level}-{uuid.uuid4().hex}"
-        rows.sortWithinPartitions("anchor", "whole").write.parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
-        return path
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(*paths)
-
-    def add(self, contents: DataFrame) -> None:
-        """One batch becomes one run; full levels are merged."""
-        found = _occurrences(contents).groupBy("anchor", "whole").agg(F.sum("m").alias("n"), F.min("k1").alias("k"))
-        self._write(found, 0)
+        self.texts: list[str] = []
+        if exists(spark, self.path):
+            found = [json.loads(r[0]) for r in spark.read.text(f"{self.path}/manifest-*.json", wholetext=True).collect()]  # the last two
+            last = max(found, key=lambda m: m["version"])
+            self.version, self.buckets, self.levels, self.texts = (last[k] for k in ("version", "buckets", "levels", "texts"))
+
+    def _save(self, gone: list[str]) -> None:
+        """Names the present runs, then deletes those that are gone and the manifest before the last."""
+        self.version += 1
+        body = json.dumps({"version": self.version, "buckets": self.buckets, "levels": self.levels, "texts": self.texts})
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest-{self.version:08d}.json")
+        out = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, False)
+        out.write(bytearray(body.encode()))
+        out.close()
+        for name in gone:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            delete_path(self.spark, f"{self.path}/{name}")
+        delete_path(self.spark, f"{self.path}/manifest-{self.version - 2:08d}.json")
+
+    def _write(self, rows: DataFrame) -> str:
+        name = f"fingerprints_{uuid.uuid4().hex}"
+        rows.select(*self.ROW).write.bucketBy(self.buckets, "anchor").sortBy("anchor", "whole").format("parquet").option("path", f"{self.path}/{name}").saveAsTable(name)
+        return name
+
+    def _run(self, name: str) -> DataFrame:
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({self.SCHEMA}) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor, whole) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+        return self.spark.table(name)
+
+    def _merged(self, a: str, b: str) -> str:
+        """One run from two, by a merge join of their buckets."""
+        x, y = self._run(a).alias("x"), self._run(b).alias("y")
+        both = x.join(y, (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.whole") == F.col("y.whole")), "full")
+        n = F.coalesce("x.n", F.lit(0)) + F.coalesce("y.n", F.lit(0))
+        with settings(self.spark, BUCKETED):
+            return self._write(both.select(n.alias("n"), *(F.coalesce(f"x.{c}", f"y.{c}").alias(c) for c in ("anchor", "whole", "k1", "k2"))))
+
+    def add(self, contents: DataFrame, texts: DataFrame | None = None) -> None:
+        """A batch becomes a run; full levels are merged. ``texts`` (k1, k2, text): needed for later batches."""
+        names, gone = [self._write(_counted(contents).repartition(self.buckets, "anchor"))], []
+        if texts is not None:
+            self.texts.append(f"texts_{uuid.uuid4().hex}")
+            texts.select("k1", "k2", "text").write.parquet(f"{self.path}/{self.texts[-1]}")
         level = 0
-        while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
-            self._merge(self.levels[level], level + 1)
+        while True:
+            if level == len(self.levels):
+                self.levels.append([])
+            self.levels[level] += names
+            if len(self.levels[level]) < self.fanout:
+                break
+            names, gone = [self._fold(self.levels[level])], gone + self.levels[level]
             self.levels[level] = []
             level += 1
-
-    def _merge(self, paths: list[str], level: int) -> None:
-        self._write(self._read(paths).groupBy("anchor", "whole").agg(F.sum("n").alias("n"), F.min("k").alias("k")), level)
-        for p in paths:
-            folder = self.spark._jvm.org.apache.hadoop.fs.Path(p)
-            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self._save(gone)
+
+    def _fold(self, names: list[str]) -> str:
+        out = names[0]
+        for i, name in enumerate(names[1:]):
+            merged = self._merged(out, name)
+            if i:  # written between two merges
+                self.spark.sql(f"DROP TABLE {out}")
+                delete_path(self.spark, f"{self.path}/{out}")
+            out = merged
+        return out
 
     def compact(self) -> DataFrame:
         """All runs merged into one."""
-        paths = [p for level in self.levels for p in level]
-        if len(paths) > 1:
-            top = len(self.levels)
-            self._merge(paths, top)
-            self.levels = [[] for _ in range(top)] + [self.levels[top]]
-        return self._read([p for level in self.levels for p in level])
+        names = [n for level in self.levels for n in level]
+        if len(names) > 1:
+            self.levels = [[] for _ in self.levels] + [[self._fold(names)]]
+            self._save(names)
+        return self._run(next(n for level in self.levels for n in level))
+
+    def near(self, anchors: DataFrame) -> DataFrame:
+        """The rows of all runs with one of the (distinct) anchors: only the anchors are shuffled, to the runs' buckets."""
+        names = [n for level in self.levels for n in level]
+        if not names:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        with settings(self.spark, BUCKETED):
+            return stored(reduce(DataFrame.unionByName, (self._run(n).join(anchors, "anchor", "left_semi").select(*self.ROW) for n in names)), "substring-near")
+
+    def text(self, keys: DataFrame) -> DataFrame:
+        """k1, k2 and text of the (distinct) keys, once each."""
+        if not self.texts:
+            return self.spark.createDataFrame([], "k1 long, k2 long, text string")
+        with settings(self.spark, BLOOM):
+            rows = self.spark.read.parquet(*(f"{self.path}/{t}" for t in self.texts))
+            return stored(rows.join(keys, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), "substring-history")
 
 
 def _verdicts(index: DataFrame) -> DataFrame:
-    """Fingerprints whose anchor occurs twice or more: n, k, and whether other stretches share the anchor."""
+    """Fingerprints whose anchor occurs twice or more: n, a text's key, and whether other stretches share the anchor.
+    A bucketed index is neither shuffled nor sorted."""
     by_anchor = index.groupBy("anchor").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1")
-    return index.join(by_anchor, "anchor").select("anchor", "whole", "n", "k", (F.col("kinds") > 1).alias("mixed"))
+    verdicts = index.join(by_anchor, "anchor").select("anchor", "whole", "n", F.col("k1").alias("own1"), F.col("k2").alias("own2"), (F.col("kinds") > 1).alias("mixed"))
+    with settings(index.sparkSession, BUCKETED):
+        return stored(verdicts, "substring-verdicts")
 
 
-def _flags(contents: DataFrame, index: DataFrame) -> DataFrame:
+def _flags(contents: DataFrame, verdicts: DataFrame) -> DataFrame:
     """For each content: stretches that are repeated as a whole, and those whose windows must be verified."""
-    hit = _occurrences(contents).join(_verdicts(index), ["anchor", "whole"])
-    stands = hit.select("k1", "k2", "m", "first", "last", (F.col("n") > 1).alias("sure"), (F.col("mixed") & ((F.col("n") == 1) | (F.col("k") == F.col("k1")))).alias("verify"))
+    hit = _occurrences(contents).join(verdicts, ["anchor", "whole"])
+    mine = (F.col("own1") == F.col("k1")) & (F.col("own2") == F.col("k2"))
+    stands = hit.select("k1", "k2", "m", "first", "last", (F.col("n") > 1).alias("sure"), (F.col("mixed") & ((F.col("n") == 1) | mine)).alias("verify"))
     rows = stands.where("sure OR verify").groupBy("k1", "k2").agg(F.first("m").alias("m"), F.collect_list(F.struct("first", "last", "sure", "verify")).alias("stretches"))
     # a text with copies is cut as a whole: it matters only for what others are verified against
     asked = F.exists("stretches", lambda x: x["verify"]).alias("asked")
     return stored(rows.select("*", asked, F.lit(1).alias("flag")).where("m = 1 OR asked"), "substring-flags")
 
 
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    """k1, k2 and text of each content."""
+    return docs.select(F.coalesce(docs[text], F.lit("")).alias("text")).withColumns(key_columns(F.col("text"))).dropDuplicates(["k1", "k2"])
+
+
 def _texts_of(docs: DataFrame, text: str, flags: DataFrame) -> DataFrame:
-    """The texts of flagged contents, once each. The optimiser's runtime Bloom filter, of a bounded size,
-    keeps most other texts out of the shuffle; the join is exact with or without it."""
-    spark = docs.sparkSession
-    wanted = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g"}
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
-    try:
-        keyed = docs.select(F.coalesce(docs[text], F.lit("")).alias("text")).withColumns(key_columns(F.col("text"))).dropDuplicates(["k1", "k2"])
-        return stored(keyed.join(flags.where("flag > 0"), ["k1", "k2"]), "substring-texts")
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    """The texts of flagged contents, once each; the join is exact with or without the Bloom filter."""
+    with settings(docs.sparkSession, BLOOM):
+        return stored(_keyed(docs, text).join(flags.where("flag > 0"), ["k1", "k2"]), "substring-texts")
 
 
 def _windows(texts: DataFrame, window: int) -> DataFrame:
-    """The windows to verify: 128-bit hash, place, and weight 2 if their stretch is known to be repeated."""
-    names = ["h1", "h2", "k1", "k2", "at", "weight"]
+    """The windows to verify: their words' digest, place, and weight 2 if their stretch is known to be repeated."""
+    names = ["words", "k1", "k2", "at", "weight"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flags = batch.column(3).to_pylist()
-            k1, k2 = (np.asarray(batch.column(i)) for i in (0, 1))
-            for i, j, data, off in text_slices(batch.column(2)):
-                w = words(data, off, BLANK_WORDS)
-                h = hash_ranges(data, w.start, w.end)
-                spans = np.array([(r - i, x["first"], x["last"], 1 + x["sure"]) for r in range(i, j) for x in flags[r] if x["verify"]], np.int64).reshape(-1, 4)
-                size = spans[:, 2] - spans[:, 1] + 1
-                which = np.repeat(np.arange(len(spans)), size)
-                at = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + spans[which, 1]
-                start = w.first[spans[which, 0]] + at
-                rows = spans[which, 0] + i
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (hash_windows(h, start, start + window).view(np.int64), hash_windows(h, start, start + window, second=True).view(np.int64), k1[rows], k2[rows], at.astype(np.int32), spans[which, 3].astype(np.int32))],
-                    names=names,
-                )
-
-    return map_arrow(texts.where("asked").select("k1", "k2", "text", "stretches"), run, "h1 long, h2 long, k1 long, k2 long, at int, weight int")
+            for k1, k2, cell, stretch in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                spans = [(x["first"], x["last"] + 1, 1 + x["sure"]) for x in stretch if x["verify"]]
+                at = np.concatenate([np.arange(a, b) for a, b, _ in spans])
+                weight = np.repeat([w for _, _, w in spans], [b - a for a, b, _ in spans]).astype(np.int32)
+                columns = [pa.array(spelled(cell.as_py().encode(), at, at + window), pa.binary()), pa.array(np.full(len(at), k1)), pa.array(np.full(len(at), k2)), pa.array(at.astype(np.int32)), pa.array(weight)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return map_arrow(texts.where("asked").select("k1", "k2", "text", "stretches"), run, "words binary, k1 long, k2 long, at int, weight int")
 
 
 def _cut(texts: DataFrame, window: int) -> DataFrame:
@@ -230,27 +306,56 @@ def _cut(texts: DataFrame, window: int) -> DataFrame:
     return map_arrow(texts.select("k1", "k2", "text", "stretches", "places"), run, "k1 long, k2 long, gone long, kept binary")
 
 
-def deduplicated(docs: DataFrame, id_column: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
-    """id, n_words, n_removed and kept_sha256, a row for each document. The documents go to the index in
-    batches; every batch is then joined with the compacted runs, so that earlier ones see later ones too."""
-    contents = _contents(docs, text, WINDOW, GRAM)
-    index = FingerprintIndex(docs.sparkSession)
-    for b in range(batches):
-        index.add(contents.where(F.pmod("k1", F.lit(batches)) == b))
-    flags = _flags(contents, index.compact())
+def _result(docs: DataFrame, id_column: str, text: str, contents: DataFrame, flags: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """id, n_words, n_removed and kept_sha256 from the flagged stretches; ``history``: more windows to verify against."""
     texts = _texts_of(docs, text, flags)
-    asked = stored(_windows(texts, WINDOW), "substring-windows")
-    twice = asked.groupBy("h1", "h2").agg(F.sum("weight").alias("seen")).where("seen > 1").select("h1", "h2")
-    places = asked.where("weight = 1").join(twice, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_list("at").alias("places"))
+    asked = _windows(texts, WINDOW)
+    asked = stored(asked if history is None else asked.unionByName(history), "substring-windows")
+    twice = asked.groupBy("words").agg(F.sum("weight").alias("seen")).where("seen > 1").select("words")
+    places = asked.where("weight = 1").join(stored(twice, "substring-twice"), "words").groupBy("k1", "k2").agg(F.collect_list("at").alias("places"))
     cut = _cut(texts.where("m = 1").join(places, ["k1", "k2"], "left"), WINDOW)
     whole = (F.col("m") > 1) & (F.col("n_words") >= WINDOW)
     nothing = F.unhex(F.lit(hashlib.sha256(b"").hexdigest()))
     removed = F.when(whole, F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed")
     kept = F.lower(F.hex(F.when(whole, nothing).otherwise(F.coalesce("kept", "digest")))).alias("kept_sha256")
     results = contents.select("k1", "k2", "m", "n_words", "digest").join(cut, ["k1", "k2"], "left").select("k1", "k2", "n_words", removed, kept)
+    results = stored(results, "substring-results")  # as only a join of two plain tables is split at a text of many copies
     keys = docs.select(docs[id_column].alias("id"), *(c.alias(k) for k, c in key_columns(docs[text]).items()))
     return keys.join(results, ["k1", "k2"]).select(F.col("id").alias(id_column), "n_words", "n_removed", "kept_sha256")
 
 
+def deduplicated(docs: DataFrame, id_column: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
+    """id, n_words, n_removed and kept_sha256, a row for each document. The documents go to the index in batches, as
+    from a growing corpus; all are then looked up in the compacted index, so that earlier ones see later ones too."""
+    contents = _contents(docs, text, WINDOW, GRAM)
+    index = FingerprintIndex(docs.sparkSession)
+    for b in range(batches):
+        index.add(contents.where(F.pmod("k1", F.lit(batches)) == b))
+    return _result(docs, id_column, text, contents, _flags(contents, _verdicts(index.compact())))
+
+
+def deduplicate_batch(docs: DataFrame, index: FingerprintIndex, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """As ``deduplicated`` for a new batch, whose words also go where a window starts in an earlier batch of the
+    index. The batch is then part of the index. Earlier results stay as they were."""
+    contents = _contents(docs, text, WINDOW, GRAM)
+    own = stored(_counted(contents), "substring-own")
+    near = index.near(own.select("anchor").distinct())
+    old = near.groupBy("anchor", "whole").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2")).alias("k")).select("anchor", "whole", "n", "k.*")
+    here = own.withColumn("here", F.lit(True)).unionByName(old.withColumn("here", F.lit(False)))
+    first = F.min(F.struct(~F.col("here"), "k1", "k2")).alias("k")  # a text of the batch, where it has the stretch
+    both = here.groupBy("anchor", "whole").agg(F.sum("n").alias("n"), F.bool_or("here").alias("here"), first).select("anchor", "whole", "n", "here", "k.k1", "k.k2")
+    verdicts = _verdicts(both)
+    # stretches that history alone has, by the texts that have them
+    past = stored(both.where("NOT here").select("anchor", "whole", "k1", "k2"), "substring-past")
+    texts = index.text(past.select("k1", "k2").distinct())
+    spans = _occurrences(_contents(texts, "text", WINDOW, GRAM)).join(past, ["anchor", "whole", "k1", "k2"])
+    spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last", F.lit(False).alias("sure"), F.lit(True).alias("verify"))).alias("stretches"))
+    history = _windows(texts.join(spans, ["k1", "k2"]).withColumn("asked", F.lit(True)), WINDOW)
+    # an exact copy of an earlier text is a repeated content here too, by its stretches
+    out = stored(_result(docs, id_column, text, contents, _flags(contents, verdicts), history), "substring-batch")
+    index.add(contents, _keyed(docs, text))
+    return out
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents"))
