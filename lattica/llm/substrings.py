@@ -132,20 +132,20 @@ def _occurrences(contents: DataFrame) -> DataFrame:
 
 
 def _counted(contents: DataFrame) -> DataFrame:
-    """A row for each fingerprint of the contents: n occurrences, and the key of one text that has it."""
-    rows = _occurrences(contents).groupBy("anchor", "whole").agg(F.sum("m").alias("n"), F.min(F.struct("k1", "k2")).alias("k"))
-    return rows.select("anchor", "whole", "n", "k.*")
+    """A row for each fingerprint of the contents: n occurrences, and half the key of one text that has it. Another
+    text with the same half would only be verified too."""
+    return _occurrences(contents).groupBy("anchor", "whole").agg(F.sum("m").alias("n"), F.min("k1").alias("own"))
 
 
 class FingerprintIndex:
-    """Runs of fingerprints (anchor, whole, n, k1, k2) and the texts they came from, under ``path``.
+    """Runs of fingerprints (anchor, whole, n, own) and the texts they came from, under ``path``.
 
     A run is a folder of Parquet files, bucketed by anchor and sorted, and is never changed: a merge writes a new
     one, a new manifest then names it, and only then its inputs are deleted. A lost executor or a failed merge so
     costs a rerun and no data. Opening a path with a manifest goes on where the last job ended. One writer at a time.
     """
 
-    SCHEMA, ROW = "anchor BIGINT, whole BINARY, n BIGINT, k1 BIGINT, k2 BIGINT", ["anchor", "whole", "n", "k1", "k2"]
+    SCHEMA, ROW = "anchor BIGINT, whole BINARY, n BIGINT, own BIGINT", ["anchor", "whole", "n", "own"]
 
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
@@ -186,7 +186,7 @@ class FingerprintIndex:
         both = x.join(y, (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.whole") == F.col("y.whole")), "full")
         n = F.coalesce("x.n", F.lit(0)) + F.coalesce("y.n", F.lit(0))
         with settings(self.spark, BUCKETED):
-            return self._write(both.select(n.alias("n"), *(F.coalesce(f"x.{c}", f"y.{c}").alias(c) for c in ("anchor", "whole", "k1", "k2"))))
+            return self._write(both.select(n.alias("n"), *(F.coalesce(f"x.{c}", f"y.{c}").alias(c) for c in ("anchor", "whole", "own"))))
 
     def add(self, contents: DataFrame, texts: DataFrame | None = None) -> None:
         """A batch becomes a run; full levels are merged. ``texts`` (k1, k2, text): needed for later batches."""
@@ -233,19 +233,19 @@ class FingerprintIndex:
             return stored(reduce(DataFrame.unionByName, (self._run(n).join(anchors, "anchor", "left_semi").select(*self.ROW) for n in names)), "substring-near")
 
     def text(self, keys: DataFrame) -> DataFrame:
-        """k1, k2 and text of the (distinct) keys, once each."""
+        """k1, k2 and text of the texts with one of the (distinct) keys k1, once each."""
         if not self.texts:
             return self.spark.createDataFrame([], "k1 long, k2 long, text string")
         with settings(self.spark, BLOOM):
             rows = self.spark.read.parquet(*(f"{self.path}/{t}" for t in self.texts))
-            return stored(rows.join(keys, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), "substring-history")
+            return stored(rows.join(keys, "k1", "left_semi").dropDuplicates(["k1", "k2"]), "substring-history")
 
 
 def _verdicts(index: DataFrame) -> DataFrame:
     """Fingerprints whose anchor occurs twice or more: n, a text's key, and whether other stretches share the anchor.
     A bucketed index is neither shuffled nor sorted."""
     by_anchor = index.groupBy("anchor").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1")
-    verdicts = index.join(by_anchor, "anchor").select("anchor", "whole", "n", F.col("k1").alias("own1"), F.col("k2").alias("own2"), (F.col("kinds") > 1).alias("mixed"))
+    verdicts = index.join(by_anchor, "anchor").select("anchor", "whole", "n", "own", (F.col("kinds") > 1).alias("mixed"))
     with settings(index.sparkSession, BUCKETED):
         return stored(verdicts, "substring-verdicts")
 
@@ -253,7 +253,7 @@ def _verdicts(index: DataFrame) -> DataFrame:
 def _flags(contents: DataFrame, verdicts: DataFrame) -> DataFrame:
     """For each content: stretches that are repeated as a whole, and those whose windows must be verified."""
     hit = _occurrences(contents).join(verdicts, ["anchor", "whole"])
-    mine = (F.col("own1") == F.col("k1")) & (F.col("own2") == F.col("k2"))
+    mine = F.col("own") == F.col("k1")
     stands = hit.select("k1", "k2", "m", "first", "last", (F.col("n") > 1).alias("sure"), (F.col("mixed") & ((F.col("n") == 1) | mine)).alias("verify"))
     rows = stands.where("sure OR verify").groupBy("k1", "k2").agg(F.first("m").alias("m"), F.collect_list(F.struct("first", "last", "sure", "verify")).alias("stretches"))
     # a text with copies is cut as a whole: it matters only for what others are verified against
@@ -340,15 +340,15 @@ def deduplicate_batch(docs: DataFrame, index: FingerprintIndex, id_column: str =
     contents = _contents(docs, text, WINDOW, GRAM)
     own = stored(_counted(contents), "substring-own")
     near = index.near(own.select("anchor").distinct())
-    old = near.groupBy("anchor", "whole").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2")).alias("k")).select("anchor", "whole", "n", "k.*")
+    old = near.groupBy("anchor", "whole").agg(F.sum("n").alias("n"), F.min("own").alias("own"))
     here = own.withColumn("here", F.lit(True)).unionByName(old.withColumn("here", F.lit(False)))
-    first = F.min(F.struct(~F.col("here"), "k1", "k2")).alias("k")  # a text of the batch, where it has the stretch
-    both = here.groupBy("anchor", "whole").agg(F.sum("n").alias("n"), F.bool_or("here").alias("here"), first).select("anchor", "whole", "n", "here", "k.k1", "k.k2")
+    first = F.coalesce(F.min(F.when(F.col("here"), F.col("own"))), F.min("own")).alias("own")  # a text of the batch, where it has the stretch
+    both = here.groupBy("anchor", "whole").agg(F.sum("n").alias("n"), F.bool_or("here").alias("here"), first)
     verdicts = _verdicts(both)
     # stretches that history alone has, by the texts that have them
-    past = stored(both.where("NOT here").select("anchor", "whole", "k1", "k2"), "substring-past")
-    texts = index.text(past.select("k1", "k2").distinct())
-    spans = _occurrences(_contents(texts, "text", WINDOW, GRAM)).join(past, ["anchor", "whole", "k1", "k2"])
+    past = stored(both.where("NOT here").select("anchor", "whole", F.col("own").alias("k1")), "substring-past")
+    texts = index.text(past.select("k1").distinct())
+    spans = _occurrences(_contents(texts, "text", WINDOW, GRAM)).join(past, ["anchor", "whole", "k1"])
     spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last", F.lit(False).alias("sure"), F.lit(True).alias("verify"))).alias("stretches"))
     history = _windows(texts.join(spans, ["k1", "k2"]).withColumn("asked", F.lit(True)), WINDOW)
     # an exact copy of an earlier text is a repeated content here too, by its stretches
