@@ -9,7 +9,8 @@ The built-in template marks turns with control strings and escapes such strings
 
 Turns are ordered by turn (nulls first), then role and text. Null texts and roles count as empty. Repeated
 rows are turns of their own. Conversations with the same id are one; a null id is an id. An empty table gives
-an empty result. One conversation must fit a task, as a template sees it whole.
+an empty result. One conversation must fit a task, as a template sees it whole, and rendering all its prefixes
+costs the square of its length. Conversation ids must be numbers or cast to them.
 """
 
 from __future__ import annotations

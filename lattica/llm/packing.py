@@ -6,6 +6,7 @@ token ids and the end token; one longer than a row is split into pieces without
 inside the scan's own partitions, so nothing is shuffled, memory is bounded by the block and a lost task is
 simply run again.
 
+The vocabulary file is read by the driver alone and sent to the executors. Ids must be numbers or cast to them.
 Null and empty texts become the end token alone. Repeated rows are packed as often as they occur; null ids
 are carried as nulls. An empty table gives no rows. A very long text yields as many full rows as it needs.
 """
@@ -32,13 +33,20 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PACKED = "part int, row long, n_tokens int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, position_resets array<int>, ids binary"
 
 
+def ranks_of(content: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, content.splitlines())}
+
+
 @lru_cache(2)
-def encoder(path: str) -> Callable[[str], list[int]]:
+def encoder_of(content: bytes) -> Callable[[str], list[int]]:
     import tiktoken
 
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks_of(content), special_tokens={}).encode_ordinary
+
+
+def encoder(path: str) -> Callable[[str], list[int]]:
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return encoder_of(f.read())
 
 
 class Rooms:
@@ -93,15 +101,18 @@ def best_fit_decreasing(sizes: list[int], length: int) -> list[list[int]]:
 
 
 def packed(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = ROW_LENGTH, vocabulary: str = VOCABULARY, end: int = END_TOKEN, block: int = BLOCK_TOKENS) -> DataFrame:
-    """A row of the id matrix each: ``ids`` are ``length`` little-endian numbers (16 bits, or 32 if the end
-    token needs them), filled up with end tokens after ``n_tokens``. Segment i of the row lies between
+    """A row of the id matrix each: ``ids`` are ``length`` little-endian numbers (16 bits, or 32 if a
+    token of the vocabulary needs them), filled up with end tokens after ``n_tokens``. Segment i of the row lies between
     ``cu_seqlens[i]`` and ``cu_seqlens[i + 1]`` and is piece ``pieces[i]`` of ``doc_ids[i]``; positions restart
     at each of ``position_resets``."""
-    kind = np.dtype("<u2") if end < 1 << 16 else np.dtype("<u4")
+    with open(vocabulary, "rb") as f:
+        content = f.read()
+    kind = np.dtype("<u2") if max(end, *ranks_of(content).values()) < 1 << 16 else np.dtype("<u4")
+    shipped = docs.sparkSession.sparkContext.broadcast(content)  # a file of a few MB that executors need not have
     source = docs.select(docs[id_column].cast("long").alias("id"), docs[text].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, context = encoder(vocabulary), TaskContext.get()
+        encode, context = encoder_of(shipped.value), TaskContext.get()
         part, done = context.partitionId() if context else 0, 0
         waiting: list[tuple[int | None, int, np.ndarray]] = []
         tokens = 0
@@ -141,11 +152,12 @@ def write_packed(packed_rows: DataFrame, path: str) -> None:
     packed_rows.write.parquet(path)
 
 
-def unpacked(rows: list, end: int = END_TOKEN) -> list[tuple[int | None, list[list[int]]]]:
-    """(id, pieces in order) again, of documents whose ids are unique: for tests and spot checks."""
+def unpacked(rows: list, end: int = END_TOKEN, wide: bool = False) -> list[tuple[int | None, list[list[int]]]]:
+    """(id, pieces in order) again, of documents whose ids are unique: for tests and spot checks.
+    ``wide``: the ids have 32 bits."""
     by: dict = {}
     for r in rows:
-        width = "H" if end < 1 << 16 else "I"
+        width = "I" if wide or end >= 1 << 16 else "H"
         ids = struct.unpack(f"<{len(r.ids) // struct.calcsize(width)}{width}", r.ids)
         for i, (doc, piece) in enumerate(zip(r.doc_ids, r.pieces, strict=True)):
             by.setdefault(doc, {})[piece] = list(ids[r.cu_seqlens[i] : r.cu_seqlens[i + 1]])

@@ -50,3 +50,10 @@ def test_edges(spark):
     got = {r.conv_id: r for r in chat.digested(chat.chat_format(turns)).collect()}
     assert got[1].n_turns == 3 and got[1].loss_chars == 0 and got[None].n_turns == 1 and got[2].loss_chars == 8
     assert chat.digested(chat.chat_format(turns.limit(0))).count() == 0
+
+
+def test_a_long_conversation():
+    turns = [("user" if i % 2 == 0 else "assistant", f"turn {i} </s> " * 3) for i in range(600)]
+    done = chat.render(turns, chat.plain_template)
+    assert chat.read_back(done.formatted) == turns and not done.rewrites
+    assert [chat.unescape(done.formatted[a:b]) for a, b in done.texts] == [t for _, t in turns]

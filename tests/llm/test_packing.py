@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from lattica.llm import packing
 
 
@@ -44,3 +46,14 @@ def test_empty_and_repeated(spark):
     assert packing.packed(spark.createDataFrame([], "doc_id long, text string, ids string")).count() == 0
     rows = packing.packed(spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], "doc_id long, text string").coalesce(1)).collect()
     assert sorted(rows[0].doc_ids, key=str) == [1, 1, None]
+
+
+def test_wide_ranks(spark, tmp_path):
+    """A vocabulary with ranks beyond 16 bits is stored in 32, whatever the end token."""
+    import base64
+
+    lines = [base64.b64encode(bytes([i])) + b" " + str(i + (70_000 if i >= 97 else 0)).encode() for i in range(256)]
+    (tmp_path / "v.tiktoken").write_bytes(b"\n".join(lines))
+    docs = spark.createDataFrame([(1, "ab Z")], "doc_id long, text string")
+    (row,) = packing.packed(docs, length=8, vocabulary=str(tmp_path / "v.tiktoken"), end=300).collect()
+    assert np.frombuffer(row.ids, "<u4").tolist() == [70_097, 70_098, 32, 90, 300, 300, 300, 300]

@@ -58,3 +58,11 @@ def test_filter_keeps_columns(spark):
     got = quality.filtered(docs)
     assert got.columns == docs.columns
     assert sorted(r.doc_id for r in got.collect()) == list(range(5))
+
+
+def test_no_votes_keep(spark):
+    """The tie at one half: no rule speaks, for or against."""
+    text = " ".join(f"AB{chr(97 + i % 26)}{chr(97 + i // 26)}ef" for i in range(60))
+    (row,) = quality.quality(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row.p_good == 0.5 and row.kept
+    assert quality.filtered(spark.createDataFrame([(1, text)], "doc_id long, text string")).count() == 1
