@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.scratch import kept as stored
 from ..functions.scratch import session_dir
 
-__all__ = ["BLOOM", "arrow_flag", "map_arrow", "session_dir", "settings", "stored", "table", "with_columns"]
+__all__ = ["BLOOM", "arrow_flag", "forget_shuffles", "map_arrow", "session_dir", "settings", "stored", "table", "with_columns"]
 
 #: Rows and bytes of one Arrow batch: memory is bounded by texts and not by row counts.
 BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
@@ -48,6 +48,12 @@ def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
             spark.conf.set(c, v) if v is not None else spark.conf.unset(c)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Asks the driver's JVM for a collection: Spark deletes the shuffle files of an ended query, on all executors,
+    when its plan is collected, and a driver that has little to do may not do so for hours."""
+    spark._jvm.System.gc()
+
+
 def release() -> None:
     """Gives freed memory back to the system: Python workers live on between tasks."""
     pa.default_memory_pool().release_unused()

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scratch import delete_path, exists
-from .common import BLOOM, map_arrow, session_dir, settings, stored, table, with_columns
+from .common import BLOOM, forget_shuffles, map_arrow, session_dir, settings, stored, table, with_columns
 from .textcore import BLANK_WORDS, covered, hash_ranges, hash_windows, text_slices, window_starts, words
 
 WINDOW, GRAM, FANOUT, BATCHES = 35, 8, 2, 3
@@ -170,6 +170,7 @@ class FingerprintIndex:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             delete_path(self.spark, f"{self.path}/{name}")
         delete_path(self.spark, f"{self.path}/manifest-{self.version - 2:08d}.json")
+        forget_shuffles(self.spark)
 
     def _write(self, rows: DataFrame) -> str:
         name = f"fingerprints_{uuid.uuid4().hex}"
@@ -224,6 +225,13 @@ class FingerprintIndex:
             self._save(names)
         return self._run(next(n for level in self.levels for n in level))
 
+    def drop(self) -> None:
+        """Deletes the index with all its runs and texts."""
+        for name in (n for level in self.levels for n in level):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete_path(self.spark, self.path)
+        self.levels, self.texts, self.version = [], [], 0
+
     def near(self, anchors: DataFrame) -> DataFrame:
         """The rows of all runs with one of the (distinct) anchors: only the anchors are shuffled, to the runs' buckets."""
         names = [n for level in self.levels for n in level]
@@ -311,6 +319,7 @@ def _result(docs: DataFrame, id_column: str, text: str, contents: DataFrame, fla
     texts = _texts_of(docs, text, flags)
     asked = _windows(texts, WINDOW)
     asked = stored(asked if history is None else asked.unionByName(history), "substring-windows")
+    forget_shuffles(docs.sparkSession)
     twice = asked.groupBy("words").agg(F.sum("weight").alias("seen")).where("seen > 1").select("words")
     places = asked.where("weight = 1").join(stored(twice, "substring-twice"), "words").groupBy("k1", "k2").agg(F.collect_list("at").alias("places"))
     cut = _cut(texts.where("m = 1").join(places, ["k1", "k2"], "left"), WINDOW)
@@ -328,10 +337,13 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     """id, n_words, n_removed and kept_sha256, a row for each document. The documents go to the index in batches, as
     from a growing corpus; all are then looked up in the compacted index, so that earlier ones see later ones too."""
     contents = _contents(docs, text, WINDOW, GRAM)
+    forget_shuffles(docs.sparkSession)
     index = FingerprintIndex(docs.sparkSession)
     for b in range(batches):
         index.add(contents.where(F.pmod("k1", F.lit(batches)) == b))
-    return _result(docs, id_column, text, contents, _flags(contents, _verdicts(index.compact())))
+    verdicts = _verdicts(index.compact())  # written, so the index has done its work
+    index.drop()
+    return _result(docs, id_column, text, contents, _flags(contents, verdicts))
 
 
 def deduplicate_batch(docs: DataFrame, index: FingerprintIndex, id_column: str = "doc_id", text: str = "text") -> DataFrame:
