@@ -8,12 +8,14 @@ simply run again.
 
 The vocabulary file is read by the driver alone and sent to the executors. Ids must be numbers or cast to them.
 Null and empty texts become the end token alone. Repeated rows are packed as often as they occur; null ids
-are carried as nulls. An empty table gives no rows. A very long text yields as many full rows as it needs.
+are carried as nulls. An empty table gives no rows. A very long text yields as many full rows as it needs; its
+tokens are held as Python numbers while it is encoded. Blanks in a row, however many, are encoded as the pattern says.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -30,6 +32,9 @@ END_TOKEN, ROW_LENGTH, BLOCK_TOKENS = 50256, 2048, 1 << 20
 #: The pre-tokeniser's pattern that belongs to the vocabulary file, as its readme gives it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: What the pattern's ``\s`` means. Its last but one part tracks back over a run of these and fails on about a million.
+BLANKS, LONG_RUN = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", 100_000
+
 PACKED = "part int, row long, n_tokens int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, position_resets array<int>, ids binary"
 
 
@@ -41,7 +46,26 @@ def ranks_of(content: bytes) -> dict[bytes, int]:
 def encoder_of(content: bytes) -> Callable[[str], list[int]]:
     import tiktoken
 
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks_of(content), special_tokens={}).encode_ordinary
+    ranks = ranks_of(content)
+    own, blanks = (tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) for name, pattern in (("own", PATTERN), ("blanks", r"\s+")))
+    return whole_runs(own.encode_ordinary, blanks.encode_ordinary)
+
+
+def whole_runs(encode_text: Callable[[str], list[int]], encode_run: Callable[[str], list[int]], limit: int = LONG_RUN) -> Callable[[str], list[int]]:
+    """The encoding of any text. A run of ``limit`` blanks (2 or more) does not go through the pattern's matcher, as it is
+    known to be one piece, without its last blank unless the text ends there."""
+    run = re.compile(f"(?<![{BLANKS}])[{BLANKS}]{{{limit},}}")
+
+    def encode(text: str) -> list[int]:
+        out, done = [], 0
+        for m in run.finditer(text) if len(text) >= limit else ():
+            end = m.end() - (m.end() < len(text))
+            out += encode_text(text[done : m.start()])
+            out += encode_run(text[m.start() : end])
+            done = end
+        return out + encode_text(text[done:])
+
+    return encode
 
 
 def encoder(path: str) -> Callable[[str], list[int]]:

@@ -42,6 +42,26 @@ def test_round_trip(spark):
     assert sum(r.n_tokens for r in rows) > 0.95 * 512 * len(rows)
 
 
+def test_long_runs_of_blanks(spark):
+    """Runs encoded as one piece give what the whole pattern gives, and a run too long for its matcher does no harm."""
+    import tiktoken
+
+    with open(packing.VOCABULARY, "rb") as f:
+        content = f.read()
+    plain, runs = (tiktoken.Encoding("own", pat_str=p, mergeable_ranks=packing.ranks_of(content), special_tokens={}) for p in (packing.PATTERN, r"\s+"))
+    rnd = random.Random(4)
+    for limit in (2, 3, 7):
+        encode = packing.whole_runs(plain.encode_ordinary, runs.encode_ordinary, limit)
+        for _ in range(2000):
+            text = "".join(rnd.choice(["a", "it's", "7", "!", "é"]) if rnd.random() < 0.3 else rnd.choice("  \n\t\r\x1c\x85\xa0\u2003\u3000\u200b") * rnd.randint(1, 9) for _ in range(rnd.randint(0, 8)))
+            assert encode(text) == plain.encode_ordinary(text), repr(text)
+    long = ["a" + " " * 2_000_000 + "b", "\n" * 1_500_000, "x" * 1_000_000 + "\t " * 700_000]
+    docs = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    for doc, pieces in packing.unpacked(packing.packed(docs).collect()):
+        *ids, end = sum(pieces, [])
+        assert end == packing.END_TOKEN and plain.decode(ids) == long[doc]
+
+
 def test_empty_and_repeated(spark):
     assert packing.packed(spark.createDataFrame([], "doc_id long, text string, ids string")).count() == 0
     rows = packing.packed(spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], "doc_id long, text string").coalesce(1)).collect()
