@@ -44,7 +44,7 @@ LOOSE = (
     ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]++)++")),
     ("phone", re.compile(r"(?<![0-9A-Za-z+-])(?:\([0-9]{3}\)[ -]?|[0-9]{3}[ -])[0-9]{3}-[0-9]{4}(?![0-9-])")),
     ("id", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
-    ("secret", re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,}+={0,2}")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}")),
 )
 # Gazetteers.
 DOMAINS = frozenset("com org net edu gov io info biz de fr es it uk eu ch at nl".split())
@@ -145,7 +145,7 @@ def votes(kind: str, body: str, before: str, border: bool) -> tuple[int, int, in
     elif kind == "secret":
         upper, lower = bool(re.search("[A-Z]", body)), bool(re.search("[a-z]", body))
         share = len(digits) / len(body)
-        form = 1 if 0.15 <= share <= 0.9 and (upper or lower) and len(body) >= 20 else -1
+        form = -1 if not (0.15 <= share <= 0.9 and (upper or lower)) else 1 if len(body) >= 20 else 0
         gaz = 1 if body.startswith(SECRET_HEADS) else 0
     else:
         form, gaz = (-1 if body[:3] in ("000", "666") or body[0] == "9" else 1), 0

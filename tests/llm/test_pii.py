@@ -54,7 +54,7 @@ def test_table_and_held_out_secrets(spark):
     rows = pii.personal_data(docs).collect()
     check(rows, texts)
     for r in rows:
-        planted = {f"secret:{m.start(1)}:{m.end(1)}" for m in re.finditer(r'(?i)token = "([0-9a-f]{20,})"', texts[r.doc_id])}
+        planted = {f"secret:{m.start(1)}:{m.end(1)}" for m in re.finditer(r'(?i)(?:token = "|password=)([0-9a-f]{16,})', texts[r.doc_id])}
         added = {x for x in r.spans.split(",") if x.startswith(("secret", "id"))}
         assert planted == added
 
@@ -80,6 +80,17 @@ def test_added_spans_against_brute_force(spark):
         assert r.spans == pii.joined(taken) and r.n_spans == len(taken)
 
 
+def test_assigned_secrets_are_candidates():
+    """With and without quotes and blanks; a short one is neither for nor against by its form."""
+    for head in ("password=", "password = ", 'password="', "password: "):
+        text = f"x {head}7602ad27cf5550de1c y"
+        (found,) = pii.candidates(text, pii.base_spans(text))
+        assert found[:3] == (2 + len(head), pii.KINDS.index("secret"), 20 + len(head))
+    assert pii.votes("secret", "7602ad27cf5550de1c", "password=", True) == (0, 0, 1, 1)
+    assert pii.votes("secret", "7602ad27cf5550de1c00", "", True)[0] == 1 and pii.votes("secret", "averylongword-without1", "", True)[0] == -1
+    assert not pii.candidates("password=averylongwordwithoutdigits", [])
+
+
 def test_context_is_whole_words():
     assert pii.votes("ip", "1.2.3.4", "the server ", True)[2] == 1 and pii.votes("ip", "1.2.3.4", "the ship ", True)[2] == 0
     assert pii.votes("id", "123-45-6789", "he did ", True)[2] == 0 and pii.votes("phone", "+12", "hotel ", True)[2] == 0
