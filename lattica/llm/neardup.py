@@ -1,10 +1,12 @@
 """Near-duplicates: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 A shingle is five words in a row (a shorter text is one shingle); its weight is one more than the logarithm of its
-count in the text, times an inverse document frequency. That is 1 for shingles in at most a thousandth of the
-documents and falls with the logarithm of the frequency to ``LEAST_IDF`` for a shingle of all documents: the floor
-is high so that a group of near copies that holds a large part of all rows is not separated by its own weights.
-Common shingles number at most a thousand times the shingles of an average document. They are found exactly:
+count in the text, times an inverse document frequency. That is 1 for a shingle of one document and falls with the
+logarithm of the frequency to ``LEAST_IDF`` for a shingle of all documents: the floor is high so that a group of
+near copies that holds a large part of all rows is not separated by its own weights. Every shingle's documents are
+counted. Those of the rest are counted in a shuffle; common ones, in more than a thousandth of the documents, would
+be its hot keys and are sent to all tasks. They number at most a thousand times the shingles of an average document
+and are found exactly:
 each is common, at a quarter of the share, in some blocks of the scan too; blocks propose, and as those that do
 not can hold no more than a quarter of the share, the sum of the proposals leaves a bounded number of candidates
 in whatever order the documents lie. A second scan counts them.
@@ -25,13 +27,16 @@ Ids must be numbers or cast to them. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import BLOOM, map_arrow, settings, stored, table, with_columns
+from .common import BLOOM, bounded_batches, forget_shuffles, map_arrow, release, settings, stored, table
 from .textcore import BLANK_WORDS, hash_ranges, hash_windows, mix, text_slices, words
 
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 4
@@ -41,6 +46,9 @@ COMMON_SHARE, LEAST_IDF = 0.001, 0.9
 BLOCK_SHINGLES, BLOCK_DOCS, MOST_SHINGLES, PARTITION_DOCS, CANDIDATES = 1_000_000, 4000, 8_000_000, 8000, 2_000_000
 #: A block proposes what is in more than this part of the share of its documents.
 BLOCK_PART = 0.25
+#: Texts are dealt to pieces of about so many bytes, and shingle ids to as many ranges; to more and smaller ones if
+#: there would be few, and never to more than 2**16.
+PIECE_BYTES, SMALL_PIECE_BYTES, FEW_PIECES, MOST_PIECES = 16 << 20, 1 << 20, 12, 1 << 16
 
 _ID = np.uint64((1 << 48) - 1)
 _CELL_BITS = 14
@@ -69,8 +77,15 @@ def _slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
 
 
 def common_shingles(docs: DataFrame, text: str, share: float = COMMON_SHARE) -> tuple[np.ndarray, np.ndarray]:
-    """Ids, sorted, and inverse document frequencies of the shingles in more than a share of the documents."""
+    """Ids, sorted, and inverse document frequencies of the shingles in more than a share of the documents, where
+    the latter is 1 at that share."""
     n = docs.count()
+    ids, seen = common_counts(docs, text, n, share)
+    return ids, idf(seen, n, share) if len(ids) else np.zeros(0)
+
+
+def common_counts(docs: DataFrame, text: str, n: int, share: float = COMMON_SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, sorted, and numbers of documents of the shingles in more than a share of the n documents."""
     source = docs.select(docs[text].alias("text"))
     source = source.coalesce(max(1, min(source.rdd.getNumPartitions(), n // PARTITION_DOCS)))
 
@@ -125,8 +140,7 @@ def common_shingles(docs: DataFrame, text: str, share: float = COMMON_SHARE) ->
         exact = map_arrow(source, lambda b, c=counted: blocks(b, c), "id long, seen long").groupBy("id").agg(F.sum("seen").alias("seen"))
         kept += [(r.id, r.seen) for r in exact.where(F.col("seen") > max(1, n * share)).collect()]  # at most 1 / share times an average document
     kept.sort()
-    seen = np.array([k[1] for k in kept], float)
-    return np.array([k[0] for k in kept], np.uint64), idf(seen, n, share)
+    return np.array([k[0] for k in kept], np.uint64), np.array([k[1] for k in kept], float)
 
 
 def idf(seen: np.ndarray, n: int, share: float = COMMON_SHARE) -> np.ndarray:
@@ -134,6 +148,129 @@ def idf(seen: np.ndarray, n: int, share: float = COMMON_SHARE) -> np.ndarray:
     return LEAST_IDF + (1 - LEAST_IDF) * np.log(n / seen) / np.log(1 / share)
 
 
+class Frequencies(NamedTuple):
+    """In how many of n documents each shingle is: common ones sorted by id; ``rest`` has, for each piece of the texts,
+    those in two documents or more that occur in it. Shingles in neither are in one document."""
+
+    n: int
+    common: tuple[np.ndarray, np.ndarray]
+    rest: DataFrame
+    pieces: int
+
+    @property
+    def tasks(self) -> int:
+        """By number, so that tasks do not grow with the input; twice the pieces, as several can fall to one task."""
+        return 2 * self.pieces
+
+    def piece(self, text: Column) -> Column:
+        return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(self.pieces)).cast("int")
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones and so on: those of sorted numbers compress."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _unplaned(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    parts = [np.frombuffer(v.as_buffer(), np.uint8).reshape(width, -1).T for c in column.chunks for v in c]
+    return np.ascontiguousarray(np.concatenate(parts)).view(kind).ravel() if parts else np.zeros(0, kind)
+
+
+def frequencies(docs: DataFrame, text: str, share: float = COMMON_SHARE) -> Frequencies:
+    """The document frequencies of all shingles. Blocks of the scan count by shingle and piece; ranges of ids add up."""
+    n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(docs[text]))).first()
+    size = size or 0
+    pieces = min(MOST_PIECES, max(1, size // PIECE_BYTES, min(FEW_PIECES, size // SMALL_PIECE_BYTES)))
+    common = common_counts(docs, text, n, share)
+    out = Frequencies(n, common, docs, pieces)
+    # the least key of each range: 48 bits of the shingle, 16 of the piece
+    bounds = np.array([-(-(i << 48) // pieces) << 16 for i in range(pieces)], np.uint64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            if held:
+                keys, seen = np.unique(np.concatenate(held), return_counts=True)
+                cut = np.append(np.searchsorted(keys, bounds), len(keys))
+                rows = [(i, _planes(keys[a:b]), _planes(seen[a:b].astype(np.uint32))) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
+                for i in range(0, len(rows), 500):
+                    part = list(zip(*rows[i : i + 500], strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1], pa.binary()), pa.array(part[2], pa.binary())], names=["range", "keys", "seen"])
+
+        for batch in batches:
+            dealt = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint64)
+            for i, _, data, off in _slices(batch.column(0)):
+                row, ids, _, _ = shingles(data, off)
+                if len(common[0]):
+                    at = np.minimum(np.searchsorted(common[0], ids), len(common[0]) - 1)
+                    rare = common[0][at] != ids
+                    row, ids = row[rare], ids[rare]
+                held.append((ids << np.uint64(16)) | dealt[i + row])
+                size += len(ids)
+                if size >= BLOCK_SHINGLES:
+                    yield from closed()
+                    held, size = [], 0
+        yield from closed()
+
+    def add_up(group: pa.Table) -> pa.Table:
+        keys, seen = _unplaned(group["keys"], np.uint64), _unplaned(group["seen"], np.uint32)
+        order = np.argsort(keys)
+        keys, seen = keys[order], seen[order].astype(np.int64)
+        ids = keys >> np.uint64(16)
+        opens = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        seen = np.repeat(np.add.reduceat(seen, opens), np.diff(np.append(opens, len(ids))))
+        once = np.append(True, keys[1:] != keys[:-1]) & (seen > 1)
+        ids, seen, piece = ids[once], seen[once], (keys[once] & np.uint64(0xFFFF)).astype(np.int32)
+        order = np.argsort(piece, kind="stable")
+        ids, seen, piece = ids[order], seen[order], piece[order]
+        cut = np.flatnonzero(np.append(True, piece[1:] != piece[:-1])) if len(piece) else np.zeros(0, np.int64)
+        ends = np.append(cut[1:], len(piece))
+        result = pa.table(
+            {
+                "piece": pa.array(piece[cut], pa.int32()),
+                "ids": pa.array([_planes(ids[a:b]) for a, b in zip(cut, ends, strict=False)], pa.binary()),
+                "seen": pa.array([_planes(seen[a:b]) for a, b in zip(cut, ends, strict=False)], pa.binary()),
+            }
+        )
+        release()
+        return result
+
+    blocks = map_arrow(docs.select(docs[text].alias("text"), out.piece(docs[text]).alias("piece")), count, "range int, keys binary, seen binary")
+    rest = stored(blocks.repartition(out.tasks, "range").groupBy("range").applyInArrow(add_up, "piece int, ids binary, seen binary"), "neardup-frequencies")
+    forget_shuffles(docs.sparkSession)
+    return out._replace(rest=rest)
+
+
+def _with_weights(rows: DataFrame, known: Frequencies, measure: Callable, added: str, keep: list[str]) -> DataFrame:
+    """The ``keep`` columns of the rows, whose texts are distinct, plus the columns ``added`` (a DDL string) that
+    ``measure(texts, (ids, inverse document frequencies))`` returns as a list of arrays."""
+    bounded_batches(rows.sparkSession)
+    schema = T.StructType([*(rows.schema[c] for c in keep), *T.StructType.fromDDL(added).fields])
+    arrow = to_arrow_schema(schema)
+    n, common = known.n, known.common
+
+    def run(texts: pa.Table, rest: pa.Table) -> pa.Table:
+        if not len(texts):
+            return arrow.empty_table()
+        ids = np.concatenate([common[0], _unplaned(rest["ids"], np.uint64)])
+        seen = np.concatenate([common[1], _unplaned(rest["seen"], np.int64)])
+        order = np.argsort(ids)
+        pair = ids[order], idf(seen[order], n, min(COMMON_SHARE, 1 / n))
+        parts = []
+        for batch in texts.to_batches():
+            columns = [*(batch.column(c) for c in keep), *measure(batch.column("text"), pair)]
+            columns = [pa.array(c) if not isinstance(c, (pa.Array, pa.ChunkedArray)) else c for c in columns]
+            parts.append(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow))
+        release()
+        return pa.Table.from_batches(parts, arrow)
+
+    dealt = rows.select(*keep, "text", known.piece(F.col("text")).alias("piece"))
+    left, right = (df.repartition(known.tasks, "piece").groupBy("piece") for df in (dealt, known.rest))
+    return left.cogroup(right).applyInArrow(run, schema)
+
+
 def weights(ids: np.ndarray, count: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     out = 1 + np.log(count)
     if len(common[0]):
@@ -205,10 +342,10 @@ def key_of(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def _banded(docs: DataFrame, id_column: str, text: str, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _banded(docs: DataFrame, id_column: str, text: str, known: Frequencies) -> DataFrame:
     """k, m, id, n_words and bands of each distinct text."""
 
-    def measure(column: pa.Array) -> list:
+    def measure(column: pa.Array, common: tuple[np.ndarray, np.ndarray]) -> list:
         n_words, bands, cuts = [], [], [np.zeros(1, np.int64)]
         for _, _, data, off in _slices(column):
             row, ids, count, n = shingles(data, off)
@@ -222,14 +359,14 @@ def _banded(docs: DataFrame, id_column: str, text: str, common: tuple[np.ndarray
         return [np.concatenate(n_words) if n_words else np.zeros(0, np.int64), pa.ListArray.from_arrays(offsets, flat)]
 
     keyed = docs.select(docs[id_column].cast("long").alias("id"), docs[text].alias("text"), key_of(docs[text]).alias("k"))
-    rows = with_columns(keyed, "text", measure, "n_words long, bands array<long>", ["id", "k"])
-    return stored(rows.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("id"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands")), "neardup-texts")
+    rows = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("id"), F.first("text").alias("text"))
+    return stored(_with_weights(rows, known, measure, "n_words long, bands array<long>", ["k", "m", "id"]), "neardup-texts")
 
 
-def _vectors(docs: DataFrame, text: str, wanted: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _vectors(docs: DataFrame, text: str, wanted: DataFrame, known: Frequencies) -> DataFrame:
     """k, ids and weights, as bytes, of the wanted texts. The optimiser's runtime Bloom filter, of a bounded
     size, keeps most other texts out of the shuffle; the join is exact with or without it."""
-    def measure(column: pa.Array) -> list:
+    def measure(column: pa.Array, common: tuple[np.ndarray, np.ndarray]) -> list:
         ids_out, weights_out = [], []
         for i, j, data, off in _slices(column):
             row, ids, count, _ = shingles(data, off)
@@ -247,7 +384,7 @@ def _vectors(docs: DataFrame, text: str, wanted: DataFrame, common: tuple[np.nda
     with settings(docs.sparkSession, BLOOM):
         keyed = docs.select(docs[text].alias("text"), key_of(docs[text]).alias("k")).dropDuplicates(["k"])
         texts = keyed.join(wanted.where("met > 1"), "k").select("k", "text")
-        return stored(with_columns(texts, "text", measure, "ids binary, weights binary", ["k"]), "neardup-vectors")
+        return stored(_with_weights(texts, known, measure, "ids binary, weights binary", ["k"]), "neardup-vectors")
 
 
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -374,9 +511,10 @@ def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """k, m, id, n_words and class key c of each distinct text."""
-    common = common_shingles(docs, text)
-    texts = _banded(docs, id_column, text, common)
-    linked = _linked(texts, lambda wanted: _vectors(docs, text, wanted, common))
+    known = frequencies(docs, text)
+    texts = _banded(docs, id_column, text, known)
+    forget_shuffles(docs.sparkSession)
+    linked = _linked(texts, lambda wanted: _vectors(docs, text, wanted, known))
     if linked is None:
         return texts.select("k", "m", "id", "n_words", F.col("k").alias("c"))
     return texts.join(linked, "k", "left").select("k", "m", "id", "n_words", F.coalesce("c", "k").alias("c"))

@@ -180,3 +180,37 @@ def test_pairs_that_meet_in_one_band(spark):
     texts = spark.createDataFrame([(key(i), b) for i, b in bands.items()], "k binary, bands array<long>")
     linked = neardup._linked(texts, lambda _: spark.createDataFrame(vectors, "k binary, ids binary, weights binary"))
     assert {bytes(r.k)[0]: bytes(r.c)[0] for r in linked.collect()} == {1: 1, 2: 2, 3: 2, 4: 4}
+
+
+def test_every_repeated_shingle_is_counted(spark, monkeypatch):
+    """Common or not, in blocks and pieces however small; copies count."""
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 5000)
+    monkeypatch.setattr(neardup, "SMALL_PIECE_BYTES", 1 << 16)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.union(docs.orderBy("doc_id").limit(3)).unionByName(spark.createDataFrame([(None, None)], "doc_id long, text string"), allowMissingColumns=True)
+    known = neardup.frequencies(docs.repartition(3), "text", share=0.02)
+    rows = [(r.p, re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in docs.select("text", known.piece(docs.text).alias("p")).collect()]
+    bags = [(p, {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()) for p, w in rows]
+    seen = Counter(s for _, b in bags for s in b)
+    assert known.n == len(bags) == 204 and known.pieces > 1
+    assert sorted(known.common[1]) == sorted(c for c in seen.values() if c > 0.02 * 204)
+    got, want = defaultdict(list), defaultdict(set)
+    for r in known.rest.collect():
+        got[r.piece] += np.frombuffer(bytes(r.seen), np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel().tolist()
+    for p, b in bags:
+        want[p] |= {s for s in b if 1 < seen[s] <= 0.02 * 204}
+    assert {p: sorted(x) for p, x in got.items()} == {p: sorted(seen[s] for s in x) for p, x in want.items() if x}
+
+
+def test_shingles_of_few_documents_weigh_by_their_number(spark):
+    """Of 3,000 documents two or three are far below the share that is common. Pairs at a plain similarity of 0.8 that
+    share what two have are below it; those at 0.7996 that differ in what three have are above."""
+    text = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rows = [text("a", 44) + " " + text("x", 5), text("a", 44) + " " + text("y", 5)]
+    thrice = [text("p", 50), text("q", 50)]
+    rows += [f"{text('b', 403)} {t}" for t in thrice]
+    rows += [f"{text(f'{t[0]}{i}-', 200)} {t}" for t in thrice for i in range(2)]
+    rows += [text(f"r{i}-", 12) for i in range(3000 - len(rows))]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
+    assert got == {i: 2 if i == 3 else i for i in range(3000)}
