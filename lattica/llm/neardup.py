@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import BLOOM, bounded_batches, forget_shuffles, map_arrow, release, settings, stored, table
+from .common import BLOOM, SPENT, bounded_batches, map_arrow, release, settings, table
+from .common import stored as written
 from .textcore import BLANK_WORDS, hash_ranges, hash_windows, mix, text_slices, words
 
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 4
@@ -50,11 +51,20 @@ BLOCK_PART = 0.25
 #: there would be few, and never to more than 2**16.
 PIECE_BYTES, SMALL_PIECE_BYTES, FEW_PIECES, MOST_PIECES = 16 << 20, 1 << 20, 12, 1 << 16
 
+#: What separates words.
+BLANKS = " \t\n\x0b\f\r"
+
 _ID = np.uint64((1 << 48) - 1)
 _CELL_BITS = 14
 _CELLS, _STEP = 1 << _CELL_BITS, np.uint64(0x9E3779B97F4A7C15)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder; the shuffle files it took, often as large as the texts, are deleted at once."""
+    with settings(df.sparkSession, SPENT):
+        return written(df, name)
+
+
 def shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, 48-bit id and count of each distinct shingle of each row, sorted by row and id; words of each row.
     A slice has at most 2**16 rows."""
@@ -238,9 +248,7 @@ def frequencies(docs: DataFrame, text: str, share: float = COMMON_SHARE) -> Freq
         return result
 
     blocks = map_arrow(docs.select(docs[text].alias("text"), out.piece(docs[text]).alias("piece")), count, "range int, keys binary, seen binary")
-    rest = stored(blocks.repartition(out.tasks, "range").groupBy("range").applyInArrow(add_up, "piece int, ids binary, seen binary"), "neardup-frequencies")
-    forget_shuffles(docs.sparkSession)
-    return out._replace(rest=rest)
+    return out._replace(rest=stored(blocks.repartition(out.tasks, "range").groupBy("range").applyInArrow(add_up, "piece int, ids binary, seen binary"), "neardup-frequencies"))
 
 
 def _with_weights(rows: DataFrame, known: Frequencies, measure: Callable, added: str, keep: list[str]) -> DataFrame:
@@ -513,7 +521,6 @@ def _classes(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """k, m, id, n_words and class key c of each distinct text."""
     known = frequencies(docs, text)
     texts = _banded(docs, id_column, text, known)
-    forget_shuffles(docs.sparkSession)
     linked = _linked(texts, lambda wanted: _vectors(docs, text, wanted, known))
     if linked is None:
         return texts.select("k", "m", "id", "n_words", F.col("k").alias("c"))
@@ -539,12 +546,13 @@ def unique(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     classes = stored(_classes(docs, id_column, text), "neardup-classes")
     first = F.struct(F.col("id").isNull().alias("none"), "id", "k")
     winners = classes.where("n_words > 0").groupBy("c").agg(F.min(first)["k"].alias("k")).select("k")
-    empty = classes.where("n_words = 0").select("k")
     own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), key_of(docs[text]).alias("k"), docs[id_column].cast("long").alias("id"))
     hashed = [F.col("_row").getField(f.name) for f in docs.schema.fields if f.name != text and "map<" not in f.dataType.simpleString()]
     own = own.withColumn("tie", F.xxhash64(*hashed) if hashed else F.lit(0))  # rows that differ in other columns only
     one = own.groupBy("k").agg(F.min_by("_row", F.struct(F.col("id").isNull(), "id", "tie")).alias("_row")).join(winners, "k", "left_semi")
-    return one.select("_row.*").unionByName(own.join(empty, "k", "left_semi").select("_row.*"))
+    # found by the text alone: a join would shuffle all texts a second time
+    empty = docs.where(F.btrim(F.coalesce(docs[text], F.lit("")), F.lit(BLANKS)) == "")
+    return one.select("_row.*").unionByName(empty)
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -214,3 +215,34 @@ def test_shingles_of_few_documents_weigh_by_their_number(spark):
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
     assert got == {i: 2 if i == 3 else i for i in range(3000)}
+
+
+def shuffled_bytes(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).length() for i in range(files.length()) if files.apply(i).getName().startswith("shuffle_"))
+
+
+def test_shuffle_files_go_with_their_step(spark, monkeypatch):
+    """Whether or not the JVM collects its garbage."""
+    left, keep = [], neardup.stored
+
+    def stored(df, name):
+        before, out = shuffled_bytes(spark), keep(df, name)
+        for _ in range(20):  # they are deleted in the background
+            if shuffled_bytes(spark) <= before:
+                return out
+            time.sleep(0.1)
+        left.append(name)
+        return out
+
+    monkeypatch.setattr(neardup, "stored", stored)
+    neardup.unique(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    assert left == []
+
+
+def test_unique_shuffles_texts_once(spark):
+    """For the first of each class; texts without words stay where they are."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", "\t\x0b \r\n\f", " a\x1fb", "\xa0", "\xa0", "\x1c", "a b c"])], "doc_id long, text string")
+    kept = neardup.unique(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 7]
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi") == 1
