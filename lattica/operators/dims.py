@@ -123,10 +123,11 @@ class Dim:
         return F.coalesce(c.between(low, high), F.lit(False))
 
     def chunk_column(self, c: Column) -> Column:
-        """The chunk of each value. Exact for wide domains too: integer division of decimals is not."""
+        """The chunk of each value. Exact for wide domains too, and for values beyond them, as a table that is only
+        read may hold: integer division of decimals is not."""
         if not self.wide:
             return F.call_function("div", c.cast("long") - F.lit(self.lo), F.lit(self.width).cast("long"))
-        v = c.cast("decimal(20,0)") - F.lit(str(self.lo)).cast("decimal(20,0)")
+        v = c.cast("decimal(38,0)") - F.lit(str(self.lo)).cast("decimal(20,0)")
         w = F.lit(str(self.width)).cast("decimal(20,0)")
         p = ((v - v % w) / w).cast("decimal(20,0)")
         return p if self.chunks_len > LONG_MAX else p.cast("long")

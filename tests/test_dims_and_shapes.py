@@ -200,3 +200,10 @@ def test_plans_prune(spark, tmp_path):
     virtual.storage = VirtualStorage(virtual.with_pos(orders), virtual.pos_names)
     plan = virtual.select(0, 1100).df()._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderkey,1024)" in plan and "LessThanOrEqual(o_orderkey,2047)" in plan
+
+
+def test_values_beyond_a_wide_domain_have_exact_chunks(spark):
+    dim = Dim(0, 2**64 - 1, 2**44, wide=True)
+    values = [0, 2**64 - 1, 2**64, 2**64 + 2**44, 120000000000000 * 8999999]
+    rows = spark.createDataFrame([(str(v),) for v in values], "s string").select(dim.chunk_column(F.col("s").cast("decimal(38,0)")).alias("p"))
+    assert [r.p for r in rows.collect()] == [v // 2**44 for v in values]
