@@ -16,18 +16,34 @@ from .dims import Dim
 Pos = tuple[int, ...]
 
 
+def _within(c: Column, a: int, b: int, open: tuple[bool, bool]) -> Column:
+    """From ``a`` to ``b``, where those sides are not open."""
+    if open == (False, False):
+        return (c == F.lit(a)) if a == b else c.between(F.lit(a), F.lit(b))
+    return c <= F.lit(b) if open == (True, False) else c >= F.lit(a) if open == (False, True) else c.isNotNull()
+
+
 @dataclass(frozen=True)
 class Box:
-    """All coordinates from ``start`` to ``end``, both included."""
+    """All coordinates from ``start`` to ``end``, both included. ``open`` says for each axis whether its lower and its
+    upper side is without a bound: rows beyond the grid, which a table that is only read may hold, are then in the
+    box too, as an axis that spans the whole grid asks nothing."""
 
     start: Pos
     end: Pos
+    open: tuple[tuple[bool, bool], ...] = ()
 
     @staticmethod
     def of(*ranges: tuple[int, int]) -> Box:
         return Box(tuple(a for a, _ in ranges), tuple(b for _, b in ranges))
 
+    @property
+    def sides(self) -> tuple[tuple[bool, bool], ...]:
+        return self.open or ((False, False),) * len(self.start)
+
     def __contains__(self, other: Box) -> bool:
+        if any(b and not a for x, y in zip(self.sides, other.sides, strict=True) for a, b in zip(x, y, strict=True)):
+            return False
         return all(a <= b for a, b in zip(self.start, other.start, strict=True)) and all(a >= b for a, b in zip(self.end, other.end, strict=True))
 
     def intersect(self, other: Box, strict: bool = False) -> Box | None:
@@ -35,7 +51,8 @@ class Box:
         start = tuple(map(max, self.start, other.start))
         end = tuple(map(min, self.end, other.end))
         thin = any(b <= a for a, b in zip(start, end, strict=True)) if strict else any(b < a for a, b in zip(start, end, strict=True))
-        return None if thin else Box(start, end)
+        both = tuple((a and c, b and d) for (a, b), (c, d) in zip(self.sides, other.sides, strict=True))
+        return None if thin else Box(start, end, both if any(map(any, both)) else ())
 
     def __add__(self, other: Box) -> Shape:
         return Shape((self,)) if other in self else Shape((other,)) if self in other else Shape((self, other))
@@ -47,12 +64,12 @@ class Box:
 
     def predicate(self, columns: Sequence[Column], full: Sequence[int]) -> Column:
         """Rows in the box; an axis that spans all its ``full`` chunks asks nothing."""
-        parts = [(c == F.lit(a)) if a == b else c.between(F.lit(a), F.lit(b)) for c, a, b, n in zip(columns, self.start, self.end, full, strict=True) if (a, b) != (0, n - 1)]
+        parts = [_within(c, a, b, open) for c, a, b, open, n in zip(columns, self.start, self.end, self.sides, full, strict=True) if (a, b) != (0, n - 1)]
         return reduce(and_, parts) if parts else F.lit(True)
 
     def value_predicate(self, columns: Sequence[Column], dims: Sequence[Dim]) -> Column:
         """The same rows by their values: reaches a scan's row groups where coordinates are only computed."""
-        parts = [c.between(F.lit(d.values_of(a)[0]), F.lit(d.values_of(b)[1])) for c, a, b, d in zip(columns, self.start, self.end, dims, strict=True) if (a, b) != (0, d.chunks_len - 1)]
+        parts = [_within(c, d.values_of(a)[0], d.values_of(b)[1], open) for c, a, b, open, d in zip(columns, self.start, self.end, self.sides, dims, strict=True) if (a, b) != (0, d.chunks_len - 1)]
         return reduce(and_, parts) if parts else F.lit(True)
 
     def frame(self, spark: SparkSession, names: Sequence[str]) -> DataFrame:
