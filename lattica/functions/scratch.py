@@ -47,3 +47,16 @@ def delete_path(spark: SparkSession, path: str) -> bool:
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """Makes an empty file and the folders above it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p).close()
+
+
+def marks(spark: SparkSession, folder: str) -> list[str]:
+    """The names of the files in a folder, none if there is no such folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in system.listStatus(p)] if system.exists(p) else []
