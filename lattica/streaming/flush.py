@@ -16,7 +16,8 @@ from ..plans.selection import Selection
 
 def write_behind(world: World, stream: DataFrame, checkpoint: str, order: str | None = None, every: str | None = None) -> StreamingQuery:
     """Upserts each micro-batch of a stream. A batch that is run again after a failure changes nothing more,
-    as an upsert by key is idempotent. ``every`` is a trigger interval; without it all that is there is
+    as an upsert by key is idempotent; so not in a world that adds. Where an id may have many records, those that
+    belong together must come in one batch. ``every`` is a trigger interval; without it all that is there is
     processed and the query ends."""
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(lambda batch, _: world.insert(batch, order) and None).start()
@@ -45,12 +46,14 @@ class Session:
         if not self.pending:
             return base
         new, _, _ = self.world._incoming(self._together(), "_turn", strict=True)
+        if self.world.many == "add":
+            return base.unionByName(new.select(*base.columns))
         return base.join(new.select(*self.world._key), self.world._key, "left_anti").unionByName(new.select(*base.columns))
 
     def view(self) -> World:
         """The world as it will be, read only: every selection works on it."""
         w = self.world
-        return World(w.spark, w.dims, w.dim_names, _Overlay(self, w.pos_names), compat=w.compat, clamp=w.clamp, unique_id=w.unique_id)
+        return World(w.spark, w.dims, w.dim_names, _Overlay(self, w.pos_names), compat=w.compat, clamp=w.clamp, unique_id=w.unique_id, many=w.many)
 
     def select(self, dim: int, bounds: Bounds | int | range | slice | None = None, granularity: str = "chunk") -> Selection:
         return self.view().select(dim, bounds, granularity)

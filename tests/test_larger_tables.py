@@ -10,6 +10,7 @@ from .oracle import compare
 
 DOMAINS = ["codec_flat", "codec_nested", "drop_malformed", "insert_unique_id", "update_in_place", "version_dispatch"]
 BACK = ["update_moves_chunk"]
+IDS = "chunk_rejects insert_last_wins insert_new insert_replace insert_returns_old memory_world session_commit session_reads_pending session_selects stream_flush try_insert_accept try_insert_reject write_counts".split()
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +24,7 @@ def larger(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", [*DOMAINS, *BACK])
+@pytest.mark.parametrize("name", [*DOMAINS, *BACK, *IDS])
 def test_against_sql(spark, larger, name):
     assert compare(queries.queries()[name](spark, larger), queries.oracle_sql()[name], larger)
 
